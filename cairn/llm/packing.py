@@ -80,8 +80,11 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def choose_cuts(places: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
-    """Indices into places (rising, first 0, gaps <= length) where sequences end, at the least total cost."""
+def choose_cuts(places: np.ndarray, penalty: np.ndarray, length: int, last: bool = True) -> list[int]:
+    """Indices into places (rising, first 0, gaps <= length) where sequences end, at the least total cost.
+
+    Not last: more tokens follow, so the cuts may stop at any place within a length of the end, at the least cost up to there.
+    """
     p, extra = places.tolist(), penalty.tolist()
     n = len(p)
     best, back = [0] * n, [0] * n  # best[i] is f[i] + p[i]
@@ -96,6 +99,9 @@ def choose_cuts(places: np.ndarray, penalty: np.ndarray, length: int) -> list[in
             queue.pop()
         queue.append(j)
     out, j = [], n - 1
+    if not last:
+        open_places = range(int(np.searchsorted(places, p[-1] - length, "right")), n)
+        j = min(open_places, key=lambda i: (best[i] - p[i], -i))
     while j:
         out.append(j)
         j = back[j]
@@ -133,9 +139,7 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, block:
             ids = np.frombuffer(stream, "<u4")
             ends = np.cumsum([len(x[2]) // 4 for x in held])
             places, penalty = cut_places(ids, ends, is_end, length)
-            at = places[choose_cuts(places, penalty, length)].tolist()
-            if not last and len(at) > 1:
-                at.pop()  # the last sequence goes on
+            at = places[choose_cuts(places, penalty, length, last)].tolist()
             rows: list[tuple] = []
             begin, k, low = 0, 0, 0
             left: list[tuple] = []

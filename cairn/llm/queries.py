@@ -40,7 +40,10 @@ def joined(kinds: list[str], order: str, base_only: bool) -> F.Column:
 
 
 def digest(found: DataFrame, kinds: list[str], n_base: int, order: str) -> DataFrame:
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in kinds[:n_base]]
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds[:n_base]]
     return found.select("doc_id", *counts, F.sha2(joined(kinds, order, True), 256).alias("base_sha256"), joined(kinds, order, False).alias("spans"))
 
 

@@ -9,8 +9,8 @@ own (equally built) automaton then fixes leftmost non-overlapping longest spans
 in that segment alone.
 
 Patterns use literals, \\xNN, classes, groups, alternatives, ?, *, + and {m,} or {m}.
-In the combined automaton a rule's ``least`` group length is written out as
-repetition, so that ordinary words are no hits; the final spans use the
+A rule whose pattern ordinary words would meet joins the combined automaton with
+its least length written out as repetition (``hit``); the final spans use the
 pattern as given and drop those that fail the length.
 
 Cases: null and empty texts have no spans; offsets count code points; equal
@@ -30,23 +30,23 @@ from cairn.llm.shared import id_text, map_rows
 class Rule(NamedTuple):
     kind: str
     pattern: str
-    hit: str  # the same with the length that a kept match has at least
     least: int = 0  # length of the value
     head: str = ""  # what precedes the value
-    fold: bool = False  # letters of the head in either case
+    hit: str = ""  # a pattern that every kept match holds to its end, where the pattern itself is met everywhere
+    fold: bool = False  # letters in either case
     base: bool = False
 
 
 _HEAD, _VALUE = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=\-]"
 #: The three base rules, and public token formats.
 RULES = (
-    Rule("assign", _HEAD + _VALUE + "+", _HEAD + _VALUE + "{6,}", 6, _HEAD, True, True),
-    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16,}", 20, "", False, True),
-    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{24,}", 24, "", False, True),
-    Rule("forge", r"gh[oprsu]_[A-Za-z0-9]+", r"gh[oprsu]_[A-Za-z0-9]{30,}", 34),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9\-]+", r"xox[abprs]-[A-Za-z0-9\-]{10,}", 15),
-    Rule("jwt", r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", 20),
-    Rule("pem", r"\-\-\-\-\-BEGIN [A-Z ]*PRIVATE KEY\-\-\-\-\-", r"\-\-\-\-\-BEGIN [A-Z ]*PRIVATE KEY\-\-\-\-\-", 0),
+    Rule("assign", _HEAD + _VALUE + "+", 6, _HEAD, fold=True, base=True),
+    Rule("access", r"AKIA[A-Z0-9]+", 20, base=True),
+    Rule("hex", r"[0-9a-f]+", 24, hit=r"[0-9a-f]{8,}", base=True),
+    Rule("forge", r"gh[oprsu]_[A-Za-z0-9]+", 34),
+    Rule("chat", r"xox[abprs]\-[A-Za-z0-9\-]+", 15),
+    Rule("jwt", r"eyJ[A-Za-z0-9_.\-]+", 40),
+    Rule("pem", r"\-\-\-\-\-BEGIN [A-Z ]*PRIVATE KEY\-\-\-\-\-"),
 )
 
 
@@ -216,34 +216,33 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.all = Automaton([parse(r.hit, r.fold) for r in rules], True)
+        self.all = Automaton([parse(r.hit or r.pattern, r.fold) for r in rules], True)
         self.own = [Automaton([parse(r.pattern, r.fold)], False) for r in rules]
         self.heads = [Automaton([parse(r.head, r.fold)], False) if r.head else None for r in rules]
-        # each row holds the next rows themselves: one step for each byte
-        linked = [list(r) for r in self.all.rows]
-        for row in linked:
-            row[:] = [linked[t] for t in row]
-            row.append(None)
-        for row, accept in zip(linked, self.all.accepts, strict=True):
-            row[256] = accept
-        self.start = linked[0]
+        # bytes that all states treat alike are one class; each row holds the next rows themselves, and at last what it accepts
+        columns = list(zip(*self.all.rows, strict=True))
+        classes = {c: k for k, c in enumerate(dict.fromkeys(columns))}
+        self.classes = bytes(classes[c] for c in columns)
+        linked: list[list] = [[] for _ in self.all.rows]
+        for state, row in enumerate(linked):
+            row += [linked[c[state]] for c in classes]
+            row.append(self.all.accepts[state])
+        self.start, self.place = linked[0], len(classes)
 
     def segments(self, data: bytes) -> list[tuple[int, int]]:
         """Closed stretches that hold a hit: from the last place in the start state to the next one."""
-        start = row = self.start
-        out, opened, hit = [], 0, False
-        for i, b in enumerate(data):
-            then = row[b]
-            if then is start:
+        start, place = self.start, self.place
+        row, out, opened, hit = start, [], 0, False
+        last = -1  # the latest byte after which the state was the start
+        for i, b in enumerate(data.translate(self.classes)):
+            row = row[b]
+            if row is start:
+                last = i
                 if hit:
                     out.append((opened, i))
                     hit = False
-            else:
-                if row is start:
-                    opened = i
-                if then[256]:
-                    hit = True
-            row = then
+            elif row[place] and not hit:
+                hit, opened = True, last + 1
         if hit:
             out.append((opened, len(data)))
         return out

@@ -37,7 +37,7 @@ def test_random_texts():
 
 
 def test_added_rules():
-    text = "see ghp_" + "a1B2" * 9 + " and eyJhbGciOi.eyJzdWIiOi.SflKxwRJSM"
+    text = "see ghp_" + "a1B2" * 9 + " and eyJhbGciOi.eyJzdWIiOi.SflKxwRJSMaaaaaaaaaaaaaa"
     assert [secrets.RULES[k].kind for _, _, k in secrets.scanner().scan(text)] == ["forge", "jwt"]
 
 
