@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import packing, secrets, sharding, token_counts
+from cairn.llm import neardup, packing, secrets, sharding, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -52,5 +52,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(found, [r.kind for r in secrets.RULES], 3, "start")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_sharding, op8_token_counts, op9_secrets)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op6_sharding, op8_token_counts, op9_secrets, op10_near_duplicates)}
 ORACLES: dict[str, str] = {}
