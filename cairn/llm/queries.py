@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import neardup, packing, secrets, sharding, token_counts
+from cairn.llm import decontamination, neardup, packing, pii, quality, secrets, sharding, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -22,11 +22,24 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    return digest(found, [*pii.KINDS, *(f"crf_{k}" for k in pii.KINDS)], 4, "kind")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(documents(spark, sf_dir), 40, "rows")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -56,5 +69,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_sharding, op8_token_counts, op9_secrets, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_personal_data, op5_quality, op6_sharding, op7_decontamination, op8_token_counts, op9_secrets, op10_near_duplicates)}
 ORACLES: dict[str, str] = {}

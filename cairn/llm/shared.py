@@ -6,23 +6,27 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a numpy step handles at once inside a task.
 STEP_BYTES = 2_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and return it without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share: spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is set
-    only where none is given (single-machine tests).
+    A temporary one is set only where none is given (single-machine tests).
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        given = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and return it without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
