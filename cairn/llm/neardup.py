@@ -4,12 +4,12 @@
    set's digest and a signature of ``coordinates`` minima.
 2. Classes: documents with equal sets are one class from here on, so copies cost
    one row of a map-side combined aggregate and nothing more.
-3. Postings: a class is posted under the value of each of its first ``prefix``
-   coordinates. A pair that agrees on ``match`` coordinates of all agrees on at
-   least need = match - (coordinates - prefix) of these. So a value met once is
-   skipped, a class with fewer than ``need`` shared values is skipped, and a class
-   leaves out its need - 1 most frequent values: two classes with ``need`` values
-   in common still meet in one that both have kept.
+3. Postings: a class is posted under each coordinate and its value. A value met
+   once is skipped; a class with fewer than ``match`` shared values is skipped; and
+   a class keeps a prefix only, all but its match - 1 most frequent values: two
+   classes with ``match`` values in common still meet in one that both have kept.
+   A posting carries a few bytes of the signature, so that chance meetings end in
+   the join itself, before anything is looked up.
 4. Links: in each list classes are compared with a few pivots, not with each
    other. Pairs agreeing on ``match`` coordinates are confirmed on full sets and
    join components; lists that lie in one component are skipped from then on.
@@ -18,7 +18,8 @@
    between components is lost; no list is capped.
 5. Components by contraction of minimal neighbours, in tables, never in the driver.
 
-match = 36 of 64 misses a pair of similarity 0.8 with a chance under 1e-5.
+match = 38 of 64 and ALIKE of 24 bytes miss a pair of similarity 0.8 with a chance
+of about 4e-5; pairs above it, and groups held together by several links, with less.
 
 Cases: a null or empty text has no shingles and is linked with nothing; with
 fewer words than a shingle the whole sequence is the one shingle; rows that
@@ -31,12 +32,14 @@ from itertools import chain
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.llm.shared import Memo, cut, id_text, map_rows
 
+#: Low bytes of so many coordinates travel with a posting, as longs; so many of them agree for a pair that is looked up.
+MINI, ALIKE = 24, 9
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -100,18 +103,33 @@ def sketch(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     return map_rows(id_text(docs), make, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
-def postings(classes: DataFrame, prefix: int) -> DataFrame:
-    """rep and key (coordinate and value) of the first coordinates."""
+def postings(classes: DataFrame, coordinates: int) -> DataFrame:
+    """rep, key (coordinate and value) and m0 to m2 (MINI low bytes) for every coordinate."""
 
     def make():
         def step(x: dict) -> dict:
-            values = np.frombuffer(b"".join(s[: 4 * prefix] for s in x["sig"]), "<u4").reshape(-1, prefix)
-            keys = values.astype(np.int64) + (np.arange(prefix, dtype=np.int64) << 32)
-            return {"rep": np.repeat(np.array(x["rep"], np.int64), prefix), "key": keys.ravel()}
+            values = np.frombuffer(b"".join(x["sig"]), "<u4").reshape(-1, coordinates)
+            keys = values.astype(np.int64) + (np.arange(coordinates, dtype=np.int64) << 32)
+            mini = np.ascontiguousarray(values[:, :MINI].astype(np.uint8)).view("<i8").repeat(coordinates, 0)
+            return {"rep": np.repeat(np.array(x["rep"], np.int64), coordinates), "key": keys.ravel(), **{f"m{k}": mini[:, k] for k in range(MINI // 8)}}
 
         return step
 
-    return map_rows(classes.select("rep", "sig"), make, "rep long, key long")
+    return map_rows(classes.select("rep", "sig"), make, "rep long, key long, " + ", ".join(f"m{k} long" for k in range(MINI // 8)))
+
+
+MINIS = [f"m{k}" for k in range(MINI // 8)]
+
+
+def alike(head: str, member: str) -> Column:
+    """Whether at least ALIKE bytes of the two postings agree: bytes that differ are folded to one bit each and counted."""
+    differing = F.lit(0)
+    for m in MINIS:
+        x = F.col(head + m).bitwiseXOR(F.col(member + m))
+        for k in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return differing <= MINI - ALIKE
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame, match: int) -> DataFrame:
@@ -170,21 +188,22 @@ def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordinates: int = 64, match: int = 36, prefix: int = 40, rounds: int = 2, pivots: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordinates: int = 64, match: int = 38, rounds: int = 2, pivots: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (doc_id = component_id)."""
     sketches = cut(sketch(docs, words, coordinates))
     known = sketches.where("n_shingles > 0 and doc_id is not null")
+    repeated = not known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    single = (lambda df: df.dropDuplicates(["rep"])) if repeated else (lambda df: df)
     classes = cut(known.groupBy("d1", "d2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep")))
+    sigs = single(classes.select("rep", "sig"))
 
-    need = match - (coordinates - prefix)
-    posts = postings(classes, prefix)
+    posts = postings(sigs, coordinates)
     shared = posts.groupBy("key").agg(F.count("*").alias("freq")).where("freq > 1")
     by_rep = Window.partitionBy("rep")
-    lists = posts.join(shared, "key").withColumn("s", F.count("*").over(by_rep)).where(F.col("s") >= need)
-    lists = cut(lists.withColumn("place", F.row_number().over(by_rep.orderBy("freq", "key"))).where(F.col("place") <= F.col("s") - need + 1).select("key", "rep"))
-
+    lists = posts.join(shared, "key").withColumn("s", F.count("*").over(by_rep)).where(F.col("s") >= match)
+    lists = lists.withColumn("place", F.row_number().over(by_rep.orderBy("freq", "key"))).where(F.col("place") <= F.col("s") - match + 1)
+    lists = cut(lists.select("key", "rep", *MINIS))
     labels = cut(lists.select("rep").distinct().withColumn("comp", F.col("rep")))
-    sigs = classes.select("rep", "sig").dropDuplicates(["rep"]).join(labels.select("rep"), "rep", "left_semi")
 
     def make():
         memo = word_memo()
@@ -194,30 +213,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordina
 
         return step
 
-    members = id_text(docs).join(labels.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = cut(map_rows(members, make, "rep long, set binary").dropDuplicates(["rep"]))
-    sigs = cut(sigs)
+    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """labels after pairs (a, b) were confirmed; full sets are made for members of these pairs only."""
+        pairs = cut(pairs)
+        reps = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = cut(single(map_rows(id_text(docs).join(reps, "doc_id", "left_semi"), make, "rep long, set binary")))
+        return contracted(labels, confirmed(pairs, sets, percent))
 
-    def open_lists() -> DataFrame:
+    def open_lists(labels: DataFrame) -> DataFrame:
         """Members with their components, of lists that span several."""
         placed = lists.join(labels, "rep")
         several = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("key")
-        return placed.join(several, "key")
+        return cut(placed.join(several, "key"))
 
     for turn in range(rounds):
-        members = cut(open_lists())
+        members = open_lists(labels)
         order = F.xxhash64("rep", F.lit(turn))
-        heads = members.groupBy("key", F.pmod(order, F.lit(pivots)).alias("salt")).agg(F.min_by(F.struct("rep", "comp"), order).alias("head"))
-        heads = heads.select("key", F.col("head.rep").alias("a"), F.col("head.comp").alias("ca"))
-        pairs = members.join(heads, "key").where("ca <> comp").select("a", F.col("rep").alias("b")).distinct()
-        best = agreeing(pairs, sigs, match).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-        labels = contracted(labels, confirmed(best, sets, percent))
+        heads = members.groupBy("key", F.pmod(order, F.lit(pivots)).alias("salt")).agg(F.min_by(F.struct("rep", "comp", *MINIS), order).alias("head"))
+        heads = heads.select("key", F.col("head.rep").alias("a"), F.col("head.comp").alias("ca"), *[F.col(f"head.{m}").alias(f"a_{m}") for m in MINIS])
+        pairs = members.join(heads, "key").where("ca <> comp").where(alike("a_", "")).select("a", F.col("rep").alias("b")).distinct()
+        labels = joined(labels, agreeing(pairs, sigs, match).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
 
-    members = cut(open_lists())
+    members = open_lists(labels)
     major = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
-    rest = members.join(major, "key").where("comp <> major").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    pairs = rest.join(members, "key").where("ca <> comp").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-    labels = contracted(labels, confirmed(agreeing(pairs, sigs, match), sets, percent))
+    rest = members.join(major, "key").where("comp <> major")
+    rest = rest.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), (F.col("major")).alias("main"), *[F.col(m).alias(f"a_{m}") for m in MINIS])
+    # of two members of the rest, the pair is met once
+    pairs = rest.join(members, "key").where("ca <> comp and (comp = main or a < rep)").where(alike("a_", "")).select("a", F.col("rep").alias("b")).distinct()
+    labels = joined(labels, agreeing(pairs, sigs, match))
 
     # a component's id is the smallest document of its classes, and a class's rep is its smallest
     tops = classes.join(labels, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, neardup, packing, pii, quality, secrets, sharding, token_counts
+from cairn.llm import decontamination, licenses, media, neardup, packing, pii, quality, secrets, sharding, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses_found(documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
@@ -27,6 +31,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(found, [*pii.KINDS, *(f"crf_{k}" for k in pii.KINDS)], 4, "kind")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(media.read_media(media.write_media(documents(spark, sf_dir))))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -69,5 +77,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_personal_data, op5_quality, op6_sharding, op7_decontamination, op8_token_counts, op9_secrets, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_packing, op3_personal_data, op4_media, op5_quality, op6_sharding, op7_decontamination, op8_token_counts, op9_secrets, op10_near_duplicates)}
 ORACLES: dict[str, str] = {}
