@@ -13,7 +13,8 @@ made and probed in one pass without a shuffle. Only texts of documents with a
 hit are read again.
 
 Words are runs of letters and digits, in lower case. Items of fewer than five
-words are not looked for; items shorter than a mask are found by their whole.
+words are not looked for; those shorter than a mask have masks of their own
+length that ignore one word each.
 
 Cases: null and empty texts have no words; equal items are all reported; rows
 that repeat a doc_id are compared each, and reported once.
@@ -59,8 +60,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, percen
     items = cut(items.withColumn("n", F.size("h")).where(F.col("n") >= LEAST_WORDS))
     span = max(map(len, masks))
     short = [r.n for r in items.where(F.col("n") < span).select("n").distinct().collect()]  # at most span different lengths
-    all_masks = [*masks, *("1" * n for n in sorted(short))]
-    parts = [keyed(items, [m], ["item_id"]) for m in masks] + [keyed(items.where(F.col("n") == n), ["1" * n], ["item_id"]) for n in short]
+    by_size = {n: ["1" * k + "0" + "1" * (n - 1 - k) for k in range(n)] for n in sorted(short)}
+    all_masks = [*masks, *(m for own in by_size.values() for m in own)]
+    parts = [keyed(items, [m], ["item_id"]) for m in masks] + [keyed(items.where(F.col("n") == n), own, ["item_id"]) for n, own in by_size.items()]
     item_keys = cut(reduce(DataFrame.unionByName, parts).select("item_id", "key", F.col("place").alias("item_place")))
     if item_keys.count() <= broadcast_keys:
         item_keys, items = F.broadcast(item_keys), F.broadcast(items)

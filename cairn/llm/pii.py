@@ -252,7 +252,7 @@ def labelled_table() -> list[tuple[str, list[int]]]:
         if k % 3:
             kind = rng.randrange(4)
             found = (email, ip, card, phone)[kind]()
-            words += found
+            words += [*found[:-1], found[-1] + rng.choice(["", "", "", ",", "."])] if kind > 1 else found
             labels += [kind + 1] * len(found)
         for _ in range(rng.randint(1, 9)):
             words.append(plain())

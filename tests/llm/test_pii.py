@@ -59,8 +59,8 @@ def test_field_learns_its_table_and_leaves_prose():
     prose = "The of and tion. Thnd ing, erst 1999 was 3.5 of CC BY-NC 4.0!! | a | *** THE!!\nDer die ungß äö."
     (spans,) = pii.found_spans([prose], pii.default_field())
     assert spans == []
-    (spans,) = pii.found_spans(["call (555) 123-4567, or 555-123-4567 now"], pii.default_field())
-    assert [k for k, *_ in spans] == ["crf_phone"] * 2
+    for text in ("call (555) 123-4567, or", "thing 555-123-4567 now"):
+        assert [k for k, *_ in pii.found_spans([text], pii.default_field())[0]] == ["crf_phone"]
 
 
 def test_query_and_masks(spark, tmp_path):
