@@ -40,6 +40,8 @@ from cairn.llm.shared import Memo, cut, id_text, map_rows
 
 #: Low bytes of so many coordinates travel with a posting, as longs; so many of them agree for a pair that is looked up.
 MINI, ALIKE = 24, 9
+#: Documents whose full sets are asked for are found by a broadcast of their ids up to so many (16 bytes each), by shuffle beyond.
+BROADCAST_IDS = 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -178,17 +180,16 @@ def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.union(links.select("cb", "ca"))
         up = both.groupBy(F.col("ca").alias("c")).agg(F.least(F.col("c"), F.min("cb")).alias("p"))
-        up = cut(up)
         for _ in range(2):  # a chain shortens to a quarter
             up = up.join(up.select(F.col("c").alias("p"), F.col("p").alias("top")), "p", "left").select("c", F.coalesce("top", "p").alias("p"))
         up = cut(up)
-        labels = cut(labels.join(up, labels.comp == up.c, "left").select("rep", F.coalesce("p", "comp").alias("comp")))
+        labels = labels.join(up, labels.comp == up.c, "left").select("rep", F.coalesce("p", "comp").alias("comp"))
         one, two = (up.select(F.col("c").alias(c), F.col("p").alias(f"p{c}")) for c in ("ca", "cb"))
         links = cut(links.join(one, "ca").join(two, "cb").where("pca <> pcb").select(F.col("pca").alias("ca"), F.col("pcb").alias("cb")).distinct())
-    return labels
+    return cut(labels)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordinates: int = 64, match: int = 38, rounds: int = 2, pivots: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordinates: int = 64, match: int = 38, rounds: int = 1, pivots: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (doc_id = component_id)."""
     sketches = cut(sketch(docs, words, coordinates))
     known = sketches.where("n_shingles > 0 and doc_id is not null")
@@ -216,7 +217,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordina
     def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
         """labels after pairs (a, b) were confirmed; full sets are made for members of these pairs only."""
         pairs = cut(pairs)
-        reps = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        reps = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        if reps.count() <= BROADCAST_IDS:
+            reps = F.broadcast(reps)
         sets = cut(single(map_rows(id_text(docs).join(reps, "doc_id", "left_semi"), make, "rep long, set binary")))
         return contracted(labels, confirmed(pairs, sets, percent))
 
