@@ -50,8 +50,8 @@ TEMPLATES = {
 def shingled(rows: DataFrame, *keep: str) -> DataFrame:
     """keep and sh: hashes of the runs of WORDS words of the text, in order."""
     rows = rows.select(*keep, F.array_remove(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), "").alias("_words"))
-    starts = F.sequence(F.lit(1), F.size("_words") - WORDS + 1)
-    runs = F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, WORDS)))
+    starts = F.sequence(F.lit(0), F.size("_words") - WORDS)
+    runs = F.transform(starts, lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WORDS)]))  # a slice would read the whole array each time
     return rows.select(*keep, F.when(F.size("_words") >= WORDS, runs).otherwise(F.array().cast("array<bigint>")).alias("sh"))
 
 
@@ -83,7 +83,9 @@ def licenses_found(docs: DataFrame, templates: dict[str, str] | DataFrame | None
         known, parts, marks = F.broadcast(known), F.broadcast(parts), F.broadcast(marks)
 
     all_shingles = shingled(id_text(docs).where("doc_id is not null"), "doc_id")
-    hits = all_shingles.select("doc_id", F.posexplode("sh").alias("place", "key")).join(marks, "key", "left_semi")
+    # written as one transform: of a plain array column the optimizer tests the size first, below, with all that made it written out again
+    each = F.explode(F.transform("sh", lambda k, i: F.struct(k.alias("key"), i.alias("place")))).alias("s")
+    hits = all_shingles.select("doc_id", each).select("doc_id", "s.key", "s.place").join(marks, "key", "left_semi")
     places = cut(hits.groupBy("doc_id").agg(F.collect_set("place").alias("places")))
     narrow = places.select("doc_id")
     if places.count() <= 5 * BROADCAST_ROWS:
@@ -92,7 +94,7 @@ def licenses_found(docs: DataFrame, templates: dict[str, str] | DataFrame | None
 
     at = places.select("doc_id", F.explode(F.concat(windows(F.col("places"), 0), windows(F.col("places"), 1))).alias("w")).select("doc_id", "w.width", "w.start")
     size = F.when(F.col("width") == 0, WIDTHS[0]).otherwise(WIDTHS[1])
-    found = texts.join(at, "doc_id").select("doc_id", "width", "start", F.slice("sh", F.col("start") + 1, size).alias("window")).where(F.size("window") > 0)
+    found = texts.join(at, "doc_id").select("doc_id", "width", "start", F.filter(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get("sh", F.col("start") + i)), lambda x: x.isNotNull()).alias("window")).where(F.size("window") > 0)
     found = found.select("doc_id", "width", "start", F.inline(bands(F.col("window"))))
     candidates = cut(found.join(parts, ["width", "band", "low"]).select("doc_id", "license", "start").distinct())
 
