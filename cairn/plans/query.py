@@ -77,7 +77,8 @@ class Query:
         return rows.withColumn("distance", vectors.distance(F.col(using), vector, metric)).orderBy("distance", *self.key).limit(k)
 
     def nearest_points(self, k: int, lat: str, lon: str, center: tuple[float, float]) -> DataFrame:
-        return self.filtered().withColumn("distance", spatial.haversine(F.col(lat), F.col(lon), *center)).orderBy("distance", *self.key).limit(k)
+        rows = self.filtered().where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+        return rows.withColumn("distance", spatial.haversine(F.col(lat), F.col(lon), *center)).orderBy("distance", *self.key).limit(k)
 
     # ---- results
 
