@@ -10,12 +10,17 @@
    classes with ``match`` values in common still meet in one that both have kept.
    A posting carries a few bytes of the signature, so that chance meetings end in
    the join itself, before anything is looked up.
-4. Links: in each list classes are compared with a few pivots, not with each
-   other. Pairs agreeing on ``match`` coordinates are confirmed on full sets and
-   join components; lists that lie in one component are skipped from then on.
-   After ``rounds`` such rounds, what is left of a list outside its largest
-   component is compared with all members of other components, so that no link
-   between components is lost; no list is capped.
+4. Links: in a list of at most SMALL classes all pairs are candidates. In a
+   longer one the members are compared with its most central classes only, those
+   whose values are met most often. Pairs agreeing on ``match`` coordinates are
+   confirmed on full sets and join components.
+   A class belongs to the cluster of the centre that it agrees with most, in at
+   least CLUSTER coordinates. What is left of a cluster outside its largest
+   component is compared with all of the cluster in blocks: a task holds about REST
+   classes of the one kind and BLOCK of the other, passes over pairs that are
+   connected already, and returns links, not pairs. So a dense group costs rows in
+   proportion to its size. Members of a list outside its largest cluster are at
+   last compared with those of other clusters: no list or group is capped.
 5. Components by contraction of minimal neighbours, in tables, never in the driver.
 
 match = 38 of 64 and ALIKE of 24 bytes miss a pair of similarity 0.8 with a chance
@@ -42,6 +47,10 @@ from cairn.llm.shared import Memo, cut, id_text, map_rows
 MINI, ALIKE = 24, 9
 #: Documents whose full sets are asked for are found by a broadcast of their ids up to so many (16 bytes each), by shuffle beyond.
 BROADCAST_IDS = 2_000_000
+#: Lists up to so many classes give all pairs; classes of the rest and of all in a block of a cluster.
+SMALL, REST, BLOCK = 12, 256, 2048
+#: Coordinates (and low bytes of MINI) in which a class agrees with its cluster's centre; classes met by chance agree in two or three.
+CLUSTER, CLUSTER_ALIKE = 16, 5
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -106,32 +115,45 @@ def sketch(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, coordinates: int) -> DataFrame:
-    """rep, key (coordinate and value) and m0 to m2 (MINI low bytes) for every coordinate."""
+    """rep and key (coordinate and value) for every coordinate."""
 
     def make():
         def step(x: dict) -> dict:
             values = np.frombuffer(b"".join(x["sig"]), "<u4").reshape(-1, coordinates)
             keys = values.astype(np.int64) + (np.arange(coordinates, dtype=np.int64) << 32)
-            mini = np.ascontiguousarray(values[:, :MINI].astype(np.uint8)).view("<i8").repeat(coordinates, 0)
-            return {"rep": np.repeat(np.array(x["rep"], np.int64), coordinates), "key": keys.ravel(), **{f"m{k}": mini[:, k] for k in range(MINI // 8)}}
+            return {"rep": np.repeat(np.array(x["rep"], np.int64), coordinates), "key": keys.ravel()}
 
         return step
 
-    return map_rows(classes.select("rep", "sig"), make, "rep long, key long, " + ", ".join(f"m{k} long" for k in range(MINI // 8)))
+    return map_rows(classes.select("rep", "sig"), make, "rep long, key long")
 
 
 MINIS = [f"m{k}" for k in range(MINI // 8)]
 
 
-def alike(head: str, member: str) -> Column:
-    """Whether at least ALIKE bytes of the two postings agree: bytes that differ are folded to one bit each and counted."""
+def low_bytes(classes: DataFrame, coordinates: int) -> DataFrame:
+    """rep and m0 to m2, the low bytes of MINI coordinates."""
+
+    def make():
+        def step(x: dict) -> dict:
+            values = np.frombuffer(b"".join(x["sig"]), "<u4").reshape(-1, coordinates)
+            mini = np.ascontiguousarray(values[:, :MINI].astype(np.uint8)).view("<i8").reshape(-1, MINI // 8)
+            return {"rep": x["rep"], **{f"m{k}": mini[:, k] for k in range(MINI // 8)}}
+
+        return step
+
+    return map_rows(classes.select("rep", "sig"), make, "rep long, " + ", ".join(f"{m} long" for m in MINIS))
+
+
+def alike(head: str, member: str, least: int = ALIKE) -> Column:
+    """Whether at least ``least`` bytes of the two postings agree: bytes that differ are folded to one bit each and counted."""
     differing = F.lit(0)
     for m in MINIS:
         x = F.col(head + m).bitwiseXOR(F.col(member + m))
         for k in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, k))
         differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return differing <= MINI - ALIKE
+    return differing <= MINI - least
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame, match: int) -> DataFrame:
@@ -150,21 +172,22 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, match: int) -> DataFrame:
     return map_rows(both, make, "a long, b long, n int")
 
 
+def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted) have 100 * intersection >= percent * union."""
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    both = np.concatenate([one, two])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Pairs (a, b) that are similar by their full sets."""
 
     def make():
         def step(x: dict) -> dict:
-            keep = []
-            for a, b, one, two in zip(x["a"], x["b"], x["set_a"], x["set_b"], strict=True):
-                one, two = np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")
-                if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
-                    continue
-                both = np.concatenate([one, two])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
-                    keep.append((a, b))
+            keep = [(a, b) for a, b, one, two in zip(x["a"], x["b"], x["set_a"], x["set_b"], strict=True) if similar(np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8"), percent)]
             return {"a": [a for a, _ in keep], "b": [b for _, b in keep]}
 
         return step
@@ -173,6 +196,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(both, make, "a long, b long")
 
 
+def block_links(rows: DataFrame, match: int, percent: int) -> DataFrame:
+    """Links (a, b) between the rest and the members of each block of a cluster; a tree of them for each component that meets."""
+
+    def run(df):
+        import pandas as pd
+
+        rest, members = df[df["rest"]], df[~df["rest"]]
+        sigs = np.frombuffer(b"".join(members["sig"]), "<u4").reshape(len(members), -1)
+        sets = [np.frombuffer(s, "<u8") for s in members["set"]]
+        reps, comps = members["rep"].tolist(), members["comp"].tolist()
+        top = {c: c for c in [*comps, *rest["comp"].tolist()]}
+
+        def find(c: int) -> int:
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
+
+        out = []
+        for rep, comp, sig, full in zip(rest["rep"], rest["comp"], rest["sig"], rest["set"], strict=True):
+            own, n = np.frombuffer(full, "<u8"), (sigs == np.frombuffer(sig, "<u4")).sum(1)
+            near = np.flatnonzero(n >= match)
+            for k in near[np.argsort(-n[near], kind="stable")].tolist():
+                if find(comps[k]) != find(comp) and similar(own, sets[k], percent):
+                    top[find(comps[k])] = find(comp)
+                    out.append((rep, reps[k]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("center", "chunk", "block").applyInPandas(run, "a long, b long")
+
+
 def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (rep, comp) after joining the components that edges (a, b) between reps connect; comp is the smallest rep."""
     of = lambda side: labels.select(F.col("rep").alias(side), F.col("comp").alias(f"c{side}"))
@@ -189,7 +242,7 @@ def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(labels)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordinates: int = 64, match: int = 38, rounds: int = 1, pivots: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordinates: int = 64, match: int = 38, centers: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (doc_id = component_id)."""
     sketches = cut(sketch(docs, words, coordinates))
     known = sketches.where("n_shingles > 0 and doc_id is not null")
@@ -202,8 +255,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordina
     shared = posts.groupBy("key").agg(F.count("*").alias("freq")).where("freq > 1")
     by_rep = Window.partitionBy("rep")
     lists = posts.join(shared, "key").withColumn("s", F.count("*").over(by_rep)).where(F.col("s") >= match)
-    lists = lists.withColumn("place", F.row_number().over(by_rep.orderBy("freq", "key"))).where(F.col("place") <= F.col("s") - match + 1)
-    lists = cut(lists.select("key", "rep", *MINIS))
+    lists = lists.withColumn("place", F.row_number().over(by_rep.orderBy("freq", "key"))).withColumn("weight", F.sum(F.log("freq")).over(by_rep))
+    lists = lists.where(F.col("place") <= F.col("s") - match + 1).select("key", "rep", "freq", "weight")
+    lists = cut(lists.join(low_bytes(sigs, coordinates), "rep"))
     labels = cut(lists.select("rep").distinct().withColumn("comp", F.col("rep")))
 
     def make():
@@ -214,36 +268,49 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordina
 
         return step
 
-    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-        """labels after pairs (a, b) were confirmed; full sets are made for members of these pairs only."""
-        pairs = cut(pairs)
-        reps = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    def sets_of(reps: DataFrame) -> DataFrame:
+        reps = cut(reps.select(F.col("rep").alias("doc_id")).distinct())
         if reps.count() <= BROADCAST_IDS:
             reps = F.broadcast(reps)
-        sets = cut(single(map_rows(id_text(docs).join(reps, "doc_id", "left_semi"), make, "rep long, set binary")))
-        return contracted(labels, confirmed(pairs, sets, percent))
-
-    def open_lists(labels: DataFrame) -> DataFrame:
-        """Members with their components, of lists that span several."""
-        placed = lists.join(labels, "rep")
-        several = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("key")
-        return cut(placed.join(several, "key"))
-
-    for turn in range(rounds):
-        members = open_lists(labels)
-        order = F.xxhash64("rep", F.lit(turn))
-        heads = members.groupBy("key", F.pmod(order, F.lit(pivots)).alias("salt")).agg(F.min_by(F.struct("rep", "comp", *MINIS), order).alias("head"))
-        heads = heads.select("key", F.col("head.rep").alias("a"), F.col("head.comp").alias("ca"), *[F.col(f"head.{m}").alias(f"a_{m}") for m in MINIS])
-        pairs = members.join(heads, "key").where("ca <> comp").where(alike("a_", "")).select("a", F.col("rep").alias("b")).distinct()
-        labels = joined(labels, agreeing(pairs, sigs, match).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
-
-    members = open_lists(labels)
-    major = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
-    rest = members.join(major, "key").where("comp <> major")
-    rest = rest.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), (F.col("major")).alias("main"), *[F.col(m).alias(f"a_{m}") for m in MINIS])
-    # of two members of the rest, the pair is met once
-    pairs = rest.join(members, "key").where("ca <> comp and (comp = main or a < rep)").where(alike("a_", "")).select("a", F.col("rep").alias("b")).distinct()
-    labels = joined(labels, agreeing(pairs, sigs, match))
+        return cut(single(map_rows(id_text(docs).join(reps, "doc_id", "left_semi"), make, "rep long, set binary")))
+
+    short = lists.where(F.col("freq") <= SMALL)
+    other = short.select("key", F.col("rep").alias("a"), *[F.col(m).alias(f"a_{m}") for m in MINIS])
+    near = short.join(other, "key").where(F.col("a") < F.col("rep")).where(alike("a_", "")).select("a", F.col("rep").alias("b")).distinct()
+
+    long = lists.where(F.col("freq") > SMALL)
+    order = F.struct("weight", F.xxhash64("rep"))
+    heads = long.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(centers)).alias("salt")).agg(F.max_by(F.struct("rep", *MINIS), order).alias("head"))
+    heads = heads.select("key", F.col("head.rep").alias("a"), *[F.col(f"head.{m}").alias(f"a_{m}") for m in MINIS])
+    starred = long.join(heads, "key").where(F.col("a") != F.col("rep")).where(alike("a_", "", CLUSTER_ALIKE)).select("a", F.col("rep").alias("b")).distinct()
+    starred = cut(agreeing(starred, sigs, CLUSTER).groupBy("b").agg(F.max(F.struct("n", "a")).alias("_")).select("b", "_.n", "_.a"))
+
+    pairs = cut(agreeing(near, sigs, match).select("a", "b").union(starred.where(F.col("n") >= match).select("a", "b")).distinct())
+    labels = contracted(labels, confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep"))), percent))
+
+    # centres that lie in another centre's cluster are followed, so that a dense group is one cluster
+    clusters = contracted(labels.select("rep", F.col("rep").alias("comp")), starred.select("a", "b")).withColumnRenamed("comp", "center")
+    members = clusters.join(labels, "rep")
+    sizes = members.groupBy("center", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("center").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("left")).where("left > 0")
+    members = cut(members.join(main, "center"))
+    full = members.join(sigs, "rep").join(sets_of(members), "rep")
+    chunks, blocks = F.ceil(F.col("left") / REST).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    place = F.xxhash64("rep", F.lit(1))
+    columns = ["center", "chunk", "block", "rest", "rep", "comp", "sig", "set"]
+    rest = full.where("comp <> main").withColumn("chunk", F.pmod(place, chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("rest", F.lit(True))
+    all_of = full.withColumn("block", F.pmod(place, blocks).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("rest", F.lit(False))
+    labels = contracted(labels, block_links(rest.select(*columns).unionByName(all_of.select(*columns)), match, percent))
+
+    # across clusters of one list
+    placed = long.join(clusters, "rep").join(labels, "rep")
+    by_cluster = placed.groupBy("key", "center").agg(F.count("*").alias("n"))
+    several = by_cluster.groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("main"), F.count("*").alias("n_clusters")).where("n_clusters > 1").select("key", "main")
+    placed = cut(placed.join(several, "key"))
+    other = placed.where("center <> main").select("key", F.col("rep").alias("a"), F.col("center").alias("a_center"), F.col("comp").alias("ca"), *[F.col(m).alias(f"a_{m}") for m in MINIS])
+    pairs = placed.join(other, "key").where("a_center <> center and ca <> comp and (center = main or a < rep)").where(alike("a_", "")).select("a", F.col("rep").alias("b")).distinct()
+    pairs = cut(agreeing(pairs, sigs, match).select("a", "b"))
+    labels = contracted(labels, confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep"))), percent))
 
     # a component's id is the smallest document of its classes, and a class's rep is its smallest
     tops = classes.join(labels, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))

@@ -54,13 +54,16 @@ def test_components_match_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, (_, c) in want.items() if i == c]
 
 
-def test_borderline_group(spark):
-    """Members differ so much that many pairs are no links; pivots alone don't reach all."""
+def test_borderline_group(spark, monkeypatch):
+    """Members differ so much that many pairs are no links; centres alone don't reach all."""
     docs = make_docs(8, 150, 22)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = {i: c for i, (_, c) in brute(docs).items()}
-    for rounds in (0, 1, 2):
-        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, rounds=rounds).collect()} == want
+    for size in (12, 2):
+        monkeypatch.setattr(neardup, "SMALL", size)
+        monkeypatch.setattr(neardup, "REST", 9)
+        monkeypatch.setattr(neardup, "BLOCK", 40)
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == want
 
 
 def test_empty_and_null_ids(spark):
