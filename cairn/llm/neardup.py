@@ -323,8 +323,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordina
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """docs with one document of each group, the one with the smallest doc_id; of rows that repeat a doc_id one stays."""
     found = cut(near_duplicates(docs, **parameters))
-    kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.where("_rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where(F.col("doc_id").isNull()))
+    dropped = cut(found.where("not kept").select("doc_id").distinct())
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    out = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    if not found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out
