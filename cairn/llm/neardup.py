@@ -11,11 +11,12 @@
    A posting carries a few bytes of the signature, so that chance meetings end in
    the join itself, before anything is looked up.
 4. Links: in a list of at most SMALL classes all pairs are candidates. In a
-   longer one the members are compared with its most central classes only, those
-   whose values are met most often. Pairs agreeing on ``match`` coordinates are
+   longer one the most central classes are heads, those whose values are met most
+   often, and a class is compared with the most central heads of its lists only.
+   Pairs agreeing on ``match`` coordinates are
    confirmed on full sets and join components.
-   A class belongs to the cluster of the centre that it agrees with most, in at
-   least CLUSTER coordinates. What is left of a cluster outside its largest
+   Classes that agree with such a head in at least CLUSTER coordinates make up its
+   cluster. What is left of a cluster outside its largest
    component is compared with all of the cluster in blocks: a task holds about REST
    classes of the one kind and BLOCK of the other, passes over pairs that are
    connected already, and returns links, not pairs. So a dense group costs rows in
@@ -280,10 +281,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordina
 
     long = lists.where(F.col("freq") > SMALL)
     order = F.struct("weight", F.xxhash64("rep"))
-    heads = long.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(centers)).alias("salt")).agg(F.max_by(F.struct("rep", *MINIS), order).alias("head"))
-    heads = heads.select("key", F.col("head.rep").alias("a"), *[F.col(f"head.{m}").alias(f"a_{m}") for m in MINIS])
-    starred = long.join(heads, "key").where(F.col("a") != F.col("rep")).where(alike("a_", "", CLUSTER_ALIKE)).select("a", F.col("rep").alias("b")).distinct()
-    starred = cut(agreeing(starred, sigs, CLUSTER).groupBy("b").agg(F.max(F.struct("n", "a")).alias("_")).select("b", "_.n", "_.a"))
+    heads = long.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(centers)).alias("salt")).agg(F.max_by(F.struct("rep", "weight", *MINIS), order).alias("head"))
+    heads = heads.select("key", "salt", F.col("head.rep").alias("a"), F.col("head.weight").alias("a_weight"), *[F.col(f"head.{m}").alias(f"a_{m}") for m in MINIS])
+    # of all centres in its lists a class keeps the most central one of each salt, so that dense groups gather round the same few
+    starred = long.join(heads, "key").where(F.col("a") != F.col("rep")).where(alike("a_", "", CLUSTER_ALIKE))
+    starred = starred.groupBy(F.col("rep").alias("b"), "salt").agg(F.max_by("a", F.struct("a_weight", "a")).alias("a"))
+    starred = cut(agreeing(starred.select("a", "b"), sigs, CLUSTER))
 
     pairs = cut(agreeing(near, sigs, match).select("a", "b").union(starred.where(F.col("n") >= match).select("a", "b")).distinct())
     labels = contracted(labels, confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep"))), percent))
