@@ -55,7 +55,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFr
     return df.mapInArrow(run, schema)
 
 
-def by_bytes(batch: pa.RecordBatch, most: int = 8 * STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, most: int = 4 * STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes each, at least one row."""
     n = max(1, min(batch.num_rows, -(-batch.nbytes // most)))
     size = -(-batch.num_rows // n) if batch.num_rows else 0
