@@ -41,13 +41,17 @@ SENTENCE_CUT, WORD_CUT = 4, 64
 WORD_STEP = 64
 #: White space for str.split() that the tokenizers' rules don't count as such.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Words of ASCII and Latin letters, without apostrophes: lower-casing works by character and the parts are the tokenizer's own.
+PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
 
 
 class Tokens:
-    """Ids of texts as little-endian uint32 bytes; words are encoded once.
+    """Ids of texts as little-endian uint32 bytes; words and their parts are encoded once.
 
-    The word vocabulary drops white space and never joins characters across it,
-    so a text's ids are its words' ids; texts with special-token marks or odd
+    The word vocabulary drops white space, and never joins characters across it
+    or across letters, digits and marks; so a text's ids are its words' ids, and
+    a plain word's those of its parts in lower case. Texts with special-token marks or odd
     control characters go to the tokenizer whole.
     """
 
@@ -56,11 +60,17 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(self.whole)
+        self.parts = Memo(self.whole, 800_000)
+        self.memo = Memo(self.word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(word.lower())))
+        return self.whole(word)
+
     def __call__(self, text: str) -> bytes:
         if any(m in text for m in self.marks) or ODD_SPACE.search(text):
             return self.whole(text)
