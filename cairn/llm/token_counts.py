@@ -6,8 +6,9 @@ number of pieces that this step takes off the word; both are worked out before.
 A word is then read once, character by character, without building its pieces.
 
 A word is a run without white space. A word that can't be cut into pieces is one
-unknown token. Pieces come from a sentencepiece model: those with the word mark
-begin words, the others continue them; byte and control pieces are left out.
+unknown token. Pieces come from a sentencepiece model: a word begins with the
+word mark, which is a piece of its own where no longer piece fits (digits, CJK);
+inside a word every piece fits; byte and control pieces are left out.
 
 Cases: null and empty texts have no tokens; very long words cost time in
 proportion to their length and are never kept in the cache.
@@ -26,7 +27,7 @@ UNKNOWN = 1 << 32
 
 
 class LongestMatch:
-    """Counts of greedy longest-match pieces."""
+    """Counts of greedy longest-match pieces; an empty initial piece is one that takes no character of the word."""
 
     def __init__(self, initial: set[str], inner: set[str]):
         self.child: dict[tuple[int, str], int] = {}
@@ -45,6 +46,8 @@ class LongestMatch:
                     node = self.child[node, c]
                 if piece:
                     ends.add(node)
+                elif root == 0:
+                    self.fail[0], self.pops[0] = 1, 1
         depth = {0: 0, 1: 0}
         for node, up, _ in order:  # parents come before children
             depth[node] = depth[up] + 1
@@ -83,7 +86,7 @@ def automaton(model: str) -> LongestMatch:
 
     m = sentencepiece.SentencePieceProcessor(model_file=model)
     pieces = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
-    return LongestMatch({p[1:] for p in pieces if p[0] == "▁"} - {""}, {p for p in pieces if p[0] != "▁"})
+    return LongestMatch({p[1:] for p in pieces if p[0] == "▁"}, set(pieces))
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:

@@ -34,3 +34,23 @@ def test_table(spark):
     got = sorted(token_counts.token_counts(docs, path).collect(), key=lambda r: (r.doc_id, r.n_words))
     assert [(r.doc_id, r.n_words) for r in got] == [(1, 3), (1, 3), (2, 0), (3, 0), (4, 1), (5, 1)]
     assert got[0].n_tokens >= 3 and got[2].n_tokens == 0 and got[5].n_unknown == 1
+
+
+def test_full_vocabulary(spark):
+    """Words that no marked piece begins take the bare mark as a piece, as by greedy matching of mark and word."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = {m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
+    rng = random.Random(3)
+    single = sorted(p for p in pieces if len(p) == 1)
+    words = ["2024", "3.14", "ñandú", "ça", "ßa", "中国人民" * 50, "▁", "a▁b", "the", "x☃", "☃", *single]
+    words += ["".join(rng.choices(single, k=rng.randrange(1, 9))) for _ in range(2000)]
+    words = [w for w in words if len(w.split()) == 1]
+    counter = token_counts.automaton(path)
+    assert [counter.count(w) for w in words] == [brute("▁" + w, pieces, pieces) for w in words]
+    assert [counter.count(w) for w in ("2024", "3.14")] == [5, 5]
+    docs = spark.createDataFrame([(1, "2024 3.14"), (2, "\uffff 2024")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in token_counts.token_counts(docs, path).collect()}
+    assert got == {1: (2, 10, 0), 2: (2, 6, 1)}
