@@ -12,9 +12,11 @@ The item side is broadcast only after its keys were counted and are at most
 made and probed in one pass without a shuffle. Only texts of documents with a
 hit are read again.
 
+Masks are chosen by the lengths that the benchmark's items have, so that no
+pattern of substitutions that the comparison would accept escapes them all.
+
 Words are runs of letters and digits, in lower case. Items of fewer than five
-words are not looked for; those shorter than a mask have masks of their own
-length that ignore one word each.
+words are not looked for.
 
 Cases: null and empty texts have no words; equal items are all reported; rows
 that repeat a doc_id are compared each, and reported once.
@@ -23,17 +25,38 @@ that repeat a doc_id are compared each, and reported once.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.shared import cut, id_text
 
-#: Six words in a span of eight or nine.
-MASKS = ("11011011", "111001101")
+#: Masks of four words, tried in this order.
+MASKS = ("1111", "11011", "10111", "11101")
+#: An item length with more patterns of changed words is not enumerated; it has a plain run.
+PATTERNS = 20_000
 LEAST_WORDS = 5
 
 
+def complete_masks(words: int, changed: int) -> list[str]:
+    """Masks of which one lies on unchanged words somewhere, whichever ``changed`` of ``words`` words are changed."""
+    run = max(1, -(-(words - changed) // (changed + 1)))  # some run of unchanged words is at least so long
+    if run >= len(MASKS[0]):
+        return [MASKS[0]]
+    chosen, escaped = [], [set(p) for p in combinations(range(words), changed)] if comb(words, changed) <= PATTERNS else []
+    for mask in MASKS if escaped else ():
+        laid = [{at + k for k, c in enumerate(mask) if c == "1"} for at in range(words - len(mask) + 1)]
+        left = [p for p in escaped if not any(p.isdisjoint(x) for x in laid)]
+        if len(left) < len(escaped):
+            chosen.append(mask)
+        escaped = left
+        if not escaped:
+            return chosen
+    return ["1" * run]
+
+
 def word_hashes(text: Column) -> Column:
     """Hashes of the words of a text, in order."""
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
@@ -54,22 +77,23 @@ def keyed(rows: DataFrame, masks: list[str], keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.explode(F.concat(*arrays)).alias("_k")).select(*keep, "_k.key", "_k.place")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, percent: int = 80, masks: tuple[str, ...] = MASKS, broadcast_keys: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, percent: int = 80, broadcast_keys: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, start (document word under the item's first word, may be negative), matched, best_window and item_words."""
     items = benchmark.select(F.col("item_id"), word_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
     items = cut(items.withColumn("n", F.size("h")).where(F.col("n") >= LEAST_WORDS))
-    span = max(map(len, masks))
-    short = [r.n for r in items.where(F.col("n") < span).select("n").distinct().collect()]  # at most span different lengths
-    by_size = {n: ["1" * k + "0" + "1" * (n - 1 - k) for k in range(n)] for n in sorted(short)}
-    all_masks = [*masks, *(m for own in by_size.values() for m in own)]
-    parts = [keyed(items, [m], ["item_id"]) for m in masks] + [keyed(items.where(F.col("n") == n), own, ["item_id"]) for n, own in by_size.items()]
+    wide = F.least(F.col("n"), F.lit(window))
+    masks: dict[str, list[int]] = {MASKS[0]: []}
+    for r in items.select(wide.alias("wide")).distinct().collect():  # at most window different lengths
+        for m in complete_masks(r.wide, int(r.wide * (100 - percent) // 100)):
+            masks.setdefault(m, []).append(r.wide)
+    parts = [keyed(items.where(wide.isin(own)), [m], ["item_id"]) for m, own in masks.items()]
     item_keys = cut(reduce(DataFrame.unionByName, parts).select("item_id", "key", F.col("place").alias("item_place")))
     if item_keys.count() <= broadcast_keys:
         item_keys, items = F.broadcast(item_keys), F.broadcast(items)
 
     words = id_text(docs).where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("h"))
     words = words.withColumn("n", F.size("h"))
-    hits = keyed(words, all_masks, ["doc_id"]).join(item_keys, "key")
+    hits = keyed(words, list(masks), ["doc_id"]).join(item_keys, "key")
     placed = cut(hits.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("start")).distinct())
 
     found = placed.select("doc_id").distinct()
@@ -79,7 +103,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, percen
     both = placed.join(texts, "doc_id").join(items.withColumnRenamed("h", "item_h"), "item_id")
     at = lambda i: F.when(i >= 0, F.get(F.col("doc_h"), i))
     same = F.transform("item_h", lambda w, k: F.when(at(F.col("start") + k) == w, 1).otherwise(0))
-    wide = F.least(F.col("n"), F.lit(window))
     sums = F.transform(F.sequence(F.lit(1), F.col("n") - wide + 1), lambda s: F.aggregate(F.slice("same", s, wide), F.lit(0), lambda a, x: a + x))
     out = both.select("doc_id", "item_id", "start", "n", same.alias("same")).select("*", F.array_max(sums).alias("best_window"), F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("matched"))
     out = out.where(F.col("best_window") * 100 >= wide * percent)

@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 from cairn.llm import decontamination as d
 
@@ -53,3 +54,34 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
     assert d.contaminated(docs, bench).count() == 0 and d.drop_contaminated(docs, bench).count() == 0
+
+
+def test_no_allowed_pattern_escapes(spark):
+    """Every pattern of changed words that the comparison accepts is found, alone and across the document's ends."""
+    rng = random.Random(4)
+    items, docs = [], []
+    for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 16, 17, 20, 24):
+        t = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(t)))
+        wide = min(n, 20)
+        patterns = list(combinations(range(wide), wide // 5))
+        for p in patterns if len(patterns) <= 60 else rng.sample(patterns, 60):
+            docs.append(" ".join("changed" if k in p else w for k, w in enumerate(t)))
+        docs += [" ".join(t), " ".join(t[wide // 5 :]), " ".join(t[: n - wide // 5]), " ".join(t[: n // 2])]
+    # the only patterns of their lengths that no run of four words survives
+    for n, p in ((5, (1,)), (5, (2,)), (5, (3,)), (6, (2,)), (6, (3,)), (7, (3,)), (10, (3, 6)), (11, (3, 7)), (15, (3, 7, 11)), (20, (4, 8, 12, 16))):
+        docs.append(" ".join("changed" if k in p else f"w{n}x{k}" for k in range(n)))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for percent in (80, 100, 60):
+        want = {(i, k) for i, t in enumerate(docs) for k, x in items if f"w{k}x" in t and brute(t, x, percent=percent)}
+        got = {(r.doc_id, r.item_id) for r in d.contaminated(df, bench, percent=percent).collect()}
+        assert got == want and len(want) >= len(items), (percent, sorted(want ^ got)[:9])
+
+
+def test_masks_are_complete():
+    for words in range(1, 21):
+        for changed in range(words // 5 + 1):
+            masks = d.complete_masks(words, changed)
+            laid = [{at + k for k, c in enumerate(m) if c == "1"} for m in masks for at in range(words - len(m) + 1)]
+            assert all(any(x.isdisjoint(p) for x in laid) for p in combinations(range(words), changed)), (words, changed, masks)
