@@ -15,8 +15,9 @@ hit are read again.
 Masks are chosen by the lengths that the benchmark's items have, so that no
 pattern of substitutions that the comparison would accept escapes them all.
 
-Words are runs of letters and digits, in lower case. Items of fewer than five
-words are not looked for.
+Words are runs of letters and digits, in lower case. Items of fewer than four
+words have one exact run of their own length; items without words are not
+looked for.
 
 Cases: null and empty texts have no words; equal items are all reported; rows
 that repeat a doc_id are compared each, and reported once.
@@ -37,7 +38,7 @@ from cairn.llm.shared import cut, id_text
 MASKS = ("1111", "11011", "10111", "11101")
 #: An item length with more patterns of changed words is not enumerated; it has a plain run.
 PATTERNS = 20_000
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 
 
 def complete_masks(words: int, changed: int) -> list[str]:

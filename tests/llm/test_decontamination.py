@@ -85,3 +85,13 @@ def test_masks_are_complete():
             masks = d.complete_masks(words, changed)
             laid = [{at + k for k, c in enumerate(m) if c == "1"} for m in masks for at in range(words - len(m) + 1)]
             assert all(any(x.isdisjoint(p) for x in laid) for p in combinations(range(words), changed)), (words, changed, masks)
+
+
+def test_items_of_one_to_four_words(spark):
+    items = [(1, "Zebra"), (2, "red, fox"), (3, "a b c"), (4, "four words in all"), (5, ""), (6, "!?"), (7, None)]
+    docs = [(1, "one zebra"), (2, "the red fox"), (3, "a B c"), (4, "x four words in all x"), (5, "red x fox"), (6, "four words x all"), (7, "zebras"), (8, ""), (9, "fox red a b"), (10, "zebra")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(df, bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (10, 1)}
+    assert {r.doc_id for r in d.drop_contaminated(df, bench).collect()} == {5, 6, 7, 8, 9}
