@@ -20,7 +20,9 @@ words have one exact run of their own length; items without words are not
 looked for.
 
 Cases: null and empty texts have no words; equal items are all reported; rows
-that repeat a doc_id are compared each, and reported once.
+that repeat a doc_id are compared each, and reported once; rows without doc_id
+are compared too, and reported under null. Rows are dropped by their texts, so
+that a missing or repeated doc_id makes no difference.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ MASKS = ("1111", "11011", "10111", "11101")
 #: An item length with more patterns of changed words is not enumerated; it has a plain run.
 PATTERNS = 20_000
 LEAST_WORDS = 1
+TEXT_KEYS = ("_text_key_0", "_text_key_1")
 
 
 def complete_masks(words: int, changed: int) -> list[str]:
@@ -78,8 +81,18 @@ def keyed(rows: DataFrame, masks: list[str], keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.explode(F.concat(*arrays)).alias("_k")).select(*keep, "_k.key", "_k.place")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, percent: int = 80, broadcast_keys: int = 1_000_000) -> DataFrame:
-    """doc_id, item_id, start (document word under the item's first word, may be negative), matched, best_window and item_words."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+    """doc_id, item_id, start (document word under the item's first word, may be negative), matched, best_window and item_words; parameters: those of found_passages."""
+    return found_passages(docs, benchmark, **parameters).drop(*TEXT_KEYS).distinct()
+
+
+def text_keys(text: Column) -> dict[str, Column]:
+    """Two hashes that stand for a whole text."""
+    return {k: F.xxhash64(F.lit(i), F.coalesce(text, F.lit(""))) for i, k in enumerate(TEXT_KEYS)}
+
+
+def found_passages(docs: DataFrame, benchmark: DataFrame, window: int = 20, percent: int = 80, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """What contaminated() returns, with the keys of the text."""
     items = benchmark.select(F.col("item_id"), word_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
     items = cut(items.withColumn("n", F.size("h")).where(F.col("n") >= LEAST_WORDS))
     wide = F.least(F.col("n"), F.lit(window))
@@ -92,30 +105,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, percen
     if item_keys.count() <= broadcast_keys:
         item_keys, items = F.broadcast(item_keys), F.broadcast(items)
 
-    words = id_text(docs).where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("h"))
+    rows = id_text(docs).withColumns(text_keys(F.col("text")))
+    words = rows.select("doc_id", TEXT_KEYS[0], word_hashes(F.col("text")).alias("h"))
     words = words.withColumn("n", F.size("h"))
-    hits = keyed(words, list(masks), ["doc_id"]).join(item_keys, "key")
-    placed = cut(hits.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("start")).distinct())
+    hits = keyed(words, list(masks), ["doc_id", TEXT_KEYS[0]]).join(item_keys, "key")
+    placed = cut(hits.select(F.col("doc_id").alias("_id"), F.col(TEXT_KEYS[0]).alias("_text"), "item_id", (F.col("place") - F.col("item_place")).alias("start")).distinct())
 
-    found = placed.select("doc_id").distinct()
+    found = placed.select(F.col("_text").alias(TEXT_KEYS[0])).distinct()
     if placed.count() <= broadcast_keys:
         found = F.broadcast(found)
-    texts = id_text(docs).join(found, "doc_id", "left_semi").select("doc_id", word_hashes(F.col("text")).alias("doc_h"))
-    both = placed.join(texts, "doc_id").join(items.withColumnRenamed("h", "item_h"), "item_id")
+    texts = rows.join(found, TEXT_KEYS[0], "left_semi").select("doc_id", *TEXT_KEYS, word_hashes(F.col("text")).alias("doc_h"))
+    both = placed.join(texts, (F.col("_text") == F.col(TEXT_KEYS[0])) & F.col("_id").eqNullSafe(F.col("doc_id"))).join(items.withColumnRenamed("h", "item_h"), "item_id")
     at = lambda i: F.when(i >= 0, F.get(F.col("doc_h"), i))
     same = F.transform("item_h", lambda w, k: F.when(at(F.col("start") + k) == w, 1).otherwise(0))
     sums = F.transform(F.sequence(F.lit(1), F.col("n") - wide + 1), lambda s: F.aggregate(F.slice("same", s, wide), F.lit(0), lambda a, x: a + x))
-    out = both.select("doc_id", "item_id", "start", "n", same.alias("same")).select("*", F.array_max(sums).alias("best_window"), F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("matched"))
+    out = both.select("doc_id", *TEXT_KEYS, "item_id", "start", "n", same.alias("same")).select("*", F.array_max(sums).alias("best_window"), F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("matched"))
     out = out.where(F.col("best_window") * 100 >= wide * percent)
-    return out.select("doc_id", "item_id", "start", "matched", "best_window", F.col("n").alias("item_words")).distinct()
+    return out.select("doc_id", *TEXT_KEYS, "item_id", "start", "matched", "best_window", F.col("n").alias("item_words"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """docs without those that hold a passage of the benchmark."""
-    bad = cut(contaminated(docs, benchmark, **parameters).select("doc_id").distinct())
-    return docs.join(F.broadcast(bad) if bounded(bad) else bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = cut(found_passages(docs, benchmark, **parameters).select(*TEXT_KEYS).distinct())
+    return docs.withColumns(text_keys(F.col("text"))).join(F.broadcast(bad) if bounded(bad) else bad, [*TEXT_KEYS], "left_anti").select(*docs.columns)
 
 
 def bounded(ids: DataFrame, most: int = 1_000_000) -> bool:
-    """Whether a table of ids is small enough for a broadcast (16 MB)."""
+    """Whether a table of keys is small enough for a broadcast (16 MB)."""
     return ids.count() <= most

@@ -16,7 +16,8 @@ texts without a shuffle. The template side is a fixed parameter table and is
 broadcast after a check of its size.
 
 Cases: null, empty and short texts have no shingles and no rows; a text may
-match several templates; rows that repeat a doc_id are reported once.
+match several templates; rows that repeat a doc_id are reported once; rows
+without doc_id have no name to be reported by and are left out.
 """
 
 from __future__ import annotations

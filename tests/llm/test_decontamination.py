@@ -95,3 +95,16 @@ def test_items_of_one_to_four_words(spark):
     got = {(r.doc_id, r.item_id) for r in d.contaminated(df, bench).collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (10, 1)}
     assert {r.doc_id for r in d.drop_contaminated(df, bench).collect()} == {5, 6, 7, 8, 9}
+
+
+def test_rows_without_doc_id(spark):
+    """A missing or shared doc_id doesn't keep a passage, nor drop a clean text."""
+    item = "one two three four five six seven"
+    docs = [(None, f"a {item}"), (None, f"a {item}"), (None, f"{item} b"), (None, "clean"), (None, None), (1, f"c {item}"), (1, "also clean"), (2, "clean")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for most in (1_000_000, 0):
+        got = [(r.doc_id, r.start) for r in d.contaminated(df, bench, broadcast_keys=most).collect()]
+        assert sorted(got, key=str) == [(1, 1), (None, 0), (None, 1)]
+        kept = [tuple(r) for r in d.drop_contaminated(df, bench, broadcast_keys=most).collect()]
+        assert sorted(kept, key=str) == sorted([(None, "clean"), (None, None), (1, "also clean"), (2, "clean")], key=str)

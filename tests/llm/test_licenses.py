@@ -39,3 +39,8 @@ def test_own_templates_and_empty(spark):
     got = licenses.licenses_found(docs, {"x": "beta gamma delta epsilon zeta", "short": "alpha beta"}).collect()
     assert [(r.doc_id, r.license, r.matched, r.shingles) for r in got] == [(1, "x", 1, 1)]
     assert licenses.licenses_found(docs.limit(0)).count() == 0
+
+
+def test_rows_without_doc_id_are_left_out(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License"), (None, "Released under the MIT License")], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in licenses.licenses_found(docs).collect()] == [(1, "mit-notice")]
