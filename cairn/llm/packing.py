@@ -17,7 +17,9 @@ Sequence ids hold the partition and a count, and a task that is run again gives
 the same rows.
 
 Cases: null and empty texts have the end token alone; texts longer than a
-sequence are cut; rows repeated are packed again; an empty table gives no rows.
+sequence are cut; rows repeated, or with a doc_id met before, are packed again
+as documents of their own; equal costs take the earliest cut; an empty table
+gives no rows; other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import Memo, by_bytes, id_text
+from cairn.llm.shared import by_bytes, id_text
 
 #: Penalties in tokens of padding.
 SENTENCE_CUT, WORD_CUT = 4, 64
@@ -41,40 +44,96 @@ SENTENCE_CUT, WORD_CUT = 4, 64
 WORD_STEP = 64
 #: White space for str.split() that the tokenizers' rules don't count as such.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Words of ASCII and Latin letters, without apostrophes: lower-casing works by character and the parts are the tokenizer's own.
-PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
+#: Texts and words of ASCII and Latin letters: lower-casing works by character and parts are the tokenizer's own.
+PLAIN_TEXT = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+")
 
 
 class Tokens:
-    """Ids of texts as little-endian uint32 bytes; words and their parts are encoded once.
+    """Ids of texts as arrays; the parts that texts are made of are encoded once.
 
     The word vocabulary drops white space, and never joins characters across it
-    or across letters, digits and marks; so a text's ids are its words' ids, and
-    a plain word's those of its parts in lower case. Texts with special-token marks or odd
-    control characters go to the tokenizer whole.
+    or across letters, digits and marks; so a plain text's ids are those of its
+    parts in lower case, and another text's those of its words. Texts with
+    special-token marks or odd control characters go to the tokenizer whole.
+
+    A part has a number; numbers of many texts are looked up at once, and parts
+    not met before are encoded in one call, as every part ends in a token with
+    the mark of a word's end. Beyond ``most`` parts the often used half is kept.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts = Memo(self.whole, 800_000)
-        self.memo = Memo(self.word)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def word(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word):
-            return b"".join(map(self.parts.__getitem__, PARTS.findall(word.lower())))
-        return self.whole(word)
+        self.most = most
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
+        self.number = _Numbers()
+        self.ids, self.starts, self.used = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, joined, and how many each has."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        sizes = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+        if len(sizes) == len(parts) and sizes.sum() == len(ids):
+            return ids, sizes
+        each = [self.whole(p) for p in parts]
+        return np.concatenate(each), np.array(list(map(len, each)), np.int64)
+
+    def learn(self) -> None:
+        """Encode the parts that were numbered since."""
+        fresh = self.number.fresh
+        plain = [p for p in fresh if PLAIN.fullmatch(p)]
+        ids, sizes = self.together(plain) if plain else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        if len(plain) < len(fresh):  # words of other scripts, one by one
+            found, ends = [], iter(np.split(ids, np.cumsum(sizes)[:-1]) if plain else ())
+            found = [next(ends) if PLAIN.fullmatch(p) else self.whole(p) for p in fresh]
+            ids, sizes = np.concatenate(found), np.array(list(map(len, found)), np.int64)
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+        fresh.clear()
+
+    def forget(self) -> None:
+        """Keep the often used half of the parts."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        parts = list(self.number)
+        sizes = np.diff(self.starts)[keep]
+        self.ids = self.ids[stretches(self.starts[keep], sizes)]
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.used = self.used[keep] // 2
+        self.number = _Numbers({parts[k]: i for i, k in enumerate(keep.tolist())})
+
+    def parts_of(self, text: str) -> list[str]:
+        if PLAIN_TEXT.fullmatch(text):
+            return PARTS.findall(text.lower())
+        return [p for w in text.split() for p in (PARTS.findall(w.lower()) if PLAIN.fullmatch(w) else (w,))]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.number) > self.most or len(self.ids) > 16 * self.most:
+            self.forget()
+        odd = {k: self.whole(t) for k, t in enumerate(texts) if any(m in t for m in self.marks) or ODD_SPACE.search(t)}
+        parts = [[] if k in odd else self.parts_of(t) for k, t in enumerate(texts)]
+        bounds = np.cumsum([0, *map(len, parts)])
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, bounds[-1])
+        if self.number.fresh:
+            self.learn()
+        self.used += np.bincount(at, minlength=len(self.used))
+        sizes = self.starts[at + 1] - self.starts[at]
+        ids = self.ids[stretches(self.starts[at], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+        return [odd[k] if k in odd else ids[a:b] for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
 
     def __call__(self, text: str) -> bytes:
-        if any(m in text for m in self.marks) or ODD_SPACE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.memo.__getitem__, text.split()))
+        return self.batch([text])[0].tobytes()
 
     def sentence_ends(self) -> np.ndarray:
         """By id: whether a sentence may end after it."""
@@ -85,6 +144,25 @@ class Tokens:
         return out
 
 
+class _Numbers(dict):
+    """Numbers of parts in the order of their coming; fresh: parts that came since it was cleared."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.fresh: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        self.fresh.append(part)
+        return n
+
+
+def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices start, start + 1, ... of each stretch, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @lru_cache(maxsize=1)
 def tokens(path: str) -> Tokens:
     return Tokens(path)
@@ -177,8 +255,8 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, block:
 
         for batch in batches:
             for part in by_bytes(batch):
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encode(text) + tail
+                for doc, found in zip(part.column(0).to_pylist(), encode.batch(part.column(1).to_pylist()), strict=True):
+                    ids = found.tobytes() + tail
                     held.append((doc, 0, ids, len(ids) // 4))
                     size += len(ids) // 4
                     if size >= block:

@@ -14,13 +14,22 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @given(st.text(alphabet=st.sampled_from("abé'sT 1.,!\n\t ́ \x1d\x85中½"), max_size=40))
 def test_words_encode_like_the_whole(text):
     t = packing.tokens(PATH)
-    assert t(text) == t.whole(text)
+    assert t(text) == t.whole(text).tobytes()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBé'sTÑ 1.,!\n日½"), max_size=30), min_size=1, max_size=5))
+def test_parts_are_forgotten_and_learnt_again(texts):
+    t = test_parts_are_forgotten_and_learnt_again.__dict__.setdefault("tokens", packing.Tokens(PATH, most=12))
+    for _ in range(2):
+        assert [x.tolist() for x in t.batch(texts)] == [t.whole(x).tolist() for x in texts]
+    assert len(t.number) == len(t.starts) - 1 == len(t.used) and t.starts[-1] == len(t.ids)
 
 
 def test_special_marks_go_whole():
     t = packing.tokens(PATH)
     for text in ("a <|endoftext|> b", "a<|startoftext|>b", "<|x|>"):
-        assert t(text) == t.whole(text)
+        assert t(text) == t.whole(text).tobytes()
 
 
 @settings(max_examples=100, deadline=None)
@@ -61,3 +70,9 @@ def test_pieces(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_rows_with_one_id_are_packed_each(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (1, "three"), (None, "four")], "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in packing.pack(docs, PATH).collect()]
+    assert got == [(1, 0, 3, 0, 0), (1, 0, 3, 0, 3), (1, 0, 2, 0, 6), (None, 0, 2, 0, 8)]
