@@ -3,29 +3,38 @@
 Several metadata dimensions are quantised to 2**bits levels each; rows are
 ordered by their cell's index on the curve and cut into runs, so that a shard
 covers a small box of every dimension and a reader can skip most shards by
-their min/max values.
+their min/max values. Levels keep the order of the values and hold about equally
+many rows: they are cut at approximate quantiles of the numbers, or of the
+first bytes, beyond what all have in common, of strings.
 
-Only a narrow table (id, size, checksum, cell) is shuffled, never the texts.
-Ranks are exact and need no global sort: rows are counted by cell, crowded
+Only a narrow table (id, size, checksum, dimensions, cell) is shuffled, never the
+texts. Ranks are exact and need no global sort: rows are counted by cell, crowded
 cells are split by a hash of the row, and counts of these buckets are summed up
 in curve order; inside a bucket a window numbers the rows. The tables of counts
-are bounded by the curve's cells plus the wanted number of buckets, whatever
-the input, which is why they may be broadcast.
-
-Cases: a null text has no bytes; null dimensions count as empty strings; equal
-rows take neighbouring places in any order; an empty table gives no rows.
+have at most 2**CELL_BITS rows plus the wanted number of buckets, whatever the
+input, and are broadcast after a count.
+
+Cases: a null text has no bytes; null dimensions count as empty strings; very
+long texts count by their size alone; equal rows take neighbouring places in any
+order; an empty table gives no rows; of docs only doc_id, text, source and lang
+are read, whatever else is there, and rows given to shard_along_curve may have
+any names but those of its results.
 """
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.shared import cut
+from cairn.llm.shared import cut, small
 
 #: Rows of a bucket in which a window numbers rows, for large inputs; at least LEAST_BUCKETS buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 500_000, 4096
+#: Most bits of a curve index; most bytes of a string that its place is told by.
+CELL_BITS, HEAD_BYTES = 20, 7
 
 
 def curve_steps(n: int) -> tuple[list[int], list[int]]:
@@ -69,14 +78,30 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     return F.aggregate(levels, F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("state")), step, lambda acc: acc["h"])
 
 
-def level(value: Column, bits: int) -> Column:
-    """Category to a level by hash."""
-    return F.pmod(F.xxhash64(F.coalesce(value, F.lit(""))), F.lit(1 << bits)).cast("long")
+def head_number(value: Column, skip: int) -> Column:
+    """The bytes of a string after the first ``skip`` as a number that keeps their order."""
+    head = F.rpad(F.hex(F.substring(value.cast("binary"), skip + 1, HEAD_BYTES)), 2 * HEAD_BYTES, "0")
+    return F.conv(head, 16, 10).cast("long")
+
+
+def equal_depth(rows: DataFrame, names: list[str], bits: int) -> list[Column]:
+    """A level for each named column (string or number), by approximate quantiles; two aggregates over narrow rows."""
+    strings = [n for n in names if rows.schema[n].dataType.typeName() == "string"]
+    values = {n: F.coalesce(F.col(n), F.lit("")) if n in strings else F.col(n) for n in names}
+    if strings:
+        filled = {n: F.when(values[n] != "", values[n]) for n in strings}  # an empty string has nothing in common with others, and stays the lowest
+        ends = rows.agg(*[f(filled[n]).alias(f"{n}_{k}") for n in strings for k, f in (("low", F.min), ("high", F.max))]).first()
+        for n in strings:
+            low, high = ((ends[f"{n}_{k}"] or "").encode() for k in ("low", "high"))
+            values[n] = head_number(values[n], len(commonprefix([low, high])))
+    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+    bounds = rows.agg(*[F.percentile_approx(values[n], shares).alias(n) for n in names]).first()
 
+    def level(value: Column, cuts: list | None) -> Column:
+        """How many cuts lie below a value."""
+        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < value)).cast("long") if cuts else F.lit(0).cast("long")
 
-def log_level(value: Column, bits: int) -> Column:
-    """Non-negative number to a level, two for each doubling."""
-    return F.least(F.floor(2 * F.log2(value + 1)), F.lit((1 << bits) - 1)).cast("long")
+    return [level(values[n], bounds[n]) for n in names]
 
 
 def shard_along_curve(rows: DataFrame, dims: list[Column], n_shards: int, law: str = "rows", bits: int = 6, size: str = "size") -> DataFrame:
@@ -87,41 +112,46 @@ def shard_along_curve(rows: DataFrame, dims: list[Column], n_shards: int, law: s
     """
     if law not in ("rows", "bytes"):
         raise ValueError(law)
+    if len(dims) * bits > CELL_BITS:
+        raise ValueError(f"{len(dims)} dimensions of {bits} bits are more than {CELL_BITS} bits")
     names = rows.columns
     tie = F.xxhash64(*[F.col(c) for c in names]).bitwiseAND(F.lit((1 << 32) - 1))
     rows = cut(rows.select("*", hilbert_index(dims, bits).alias("cell"), tie.alias("_tie")))
     weight = F.col(size).cast("long")
 
-    cells = rows.groupBy("cell").agg(F.count("*").alias("_n"))
-    wanted = F.greatest(F.lit(LEAST_BUCKETS), F.ceil(F.col("_all") / BUCKET_ROWS))
-    cells = cells.withColumn("_all", F.sum("_n").over(Window.partitionBy())).select("cell", F.ceil(F.col("_n") * wanted / F.col("_all")).alias("_parts"))
-    rows = rows.join(F.broadcast(cells), "cell").withColumn("_part", F.shiftright(F.col("_tie") * F.col("_parts"), 32))
+    cells = cut(rows.groupBy("cell").agg(F.count("*").alias("_n"), F.sum(weight).alias("_w")))
+    whole = cells.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_w"), F.lit(0)).alias("w")).first()
+    wanted = max(LEAST_BUCKETS, -(-whole.n // BUCKET_ROWS))
+    parts = cells.select("cell", F.ceil(F.col("_n") * wanted / max(1, whole.n)).alias("_parts"))
+    rows = rows.join(small(parts), "cell").withColumn("_part", F.shiftright(F.col("_tie") * F.col("_parts"), 32))
 
-    before = Window.orderBy("cell", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("cell", "_part").rowsBetween(Window.unboundedPreceding, -1)  # over a table of bounded size
     counts = rows.groupBy("cell", "_part").agg(F.count("*").alias("_n"), F.sum(weight).alias("_w"))
-    counts = counts.select(
-        "cell", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w0"),
-        F.sum("_n").over(Window.partitionBy()).alias("_all"), F.sum("_w").over(Window.partitionBy()).alias("_w_all"),
-    )
+    counts = counts.select("cell", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w0"))
     inside = Window.partitionBy("cell", "_part").orderBy("_tie", *names)
-    ranked = rows.join(F.broadcast(counts), ["cell", "_part"]).withColumn("rank", F.col("_n0") + F.row_number().over(inside) - 1)
+    ranked = rows.join(small(counts), ["cell", "_part"]).withColumn("_all", F.lit(whole.n)).withColumn("rank", F.col("_n0") + F.row_number().over(inside) - 1)
     if law == "rows":
         ranked = ranked.withColumn("shard", F.expr(f"int(rank * {n_shards} div _all)"))
         ranked = ranked.withColumn("slot", F.expr(f"rank - (shard * _all + {n_shards - 1}) div {n_shards}"))
     else:
         middle = F.col("_w0") + F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - weight / 2
-        ranked = cut(ranked.withColumn("shard", F.least(F.floor(middle * n_shards / F.col("_w_all")), F.lit(n_shards - 1)).cast("int")))
+        ranked = cut(ranked.withColumn("shard", F.least(F.floor(middle * n_shards / max(1, whole.w)), F.lit(n_shards - 1)).cast("int")))
         first = ranked.groupBy("shard").agg(F.min("rank").alias("_first"))
         ranked = ranked.join(F.broadcast(first), "shard").withColumn("slot", F.col("rank") - F.col("_first"))
     return ranked.select(*names, "cell", "rank", "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, law: str = "rows", bits: int = 6) -> DataFrame:
-    """doc_id, size, text_crc32, cell, rank, shard, slot of documents, by source, language and size."""
+    """doc_id, size, text_crc32, source, lang, cell, rank, shard, slot of documents, by source, language and size."""
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        level(F.col("source"), bits).alias("source_level"), level(F.col("lang"), bits).alias("lang_level"),
+        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
     )
-    dims = [F.col("source_level"), F.col("lang_level"), log_level(F.col("size"), bits)]
-    return shard_along_curve(narrow, dims, n_shards, law, bits)
+    narrow = cut(narrow)
+    return shard_along_curve(narrow, equal_depth(narrow, ["source", "lang", "size"], bits), n_shards, law, bits)
+
+
+def shard_bounds(sharded: DataFrame, columns: list[str]) -> DataFrame:
+    """shard, rows, and low and high of each column: what a reader prunes shards by."""
+    return sharded.groupBy("shard").agg(F.count("*").alias("rows"), *[f(c).alias(f"{c}_{k}") for c in columns for k, f in (("low", F.min), ("high", F.max))])

@@ -36,3 +36,86 @@ def test_cuts(spark, law):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert sharding.shard_documents(docs).count() == 0
+
+
+def curve_place(point, bits):
+    """Index of a cell by an independent way: Gray code undone level by level on the bit planes of the transposed index."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        p = q - 1
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= p
+            else:
+                t = (x[0] ^ x[i]) & p
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    out = 0
+    for b in reversed(range(bits)):
+        for v in x:
+            out = out << 1 | v >> b & 1
+    return out
+
+
+def test_order_is_a_curve_like_the_independent_one(spark):
+    """Both visit each aligned sub-cube as one run, so their indices agree block by block up to the curve's symmetry."""
+    import itertools
+
+    n, bits = 3, 3
+    cells = list(itertools.product(range(1 << bits), repeat=n))
+    df = spark.createDataFrame(cells, ["a", "b", "c"])
+    got = {tuple(r[:3]): r.h for r in df.select("a", "b", "c", sharding.hilbert_index([F.col(c) for c in "abc"], bits).alias("h")).collect()}
+    for index in (got, {c: curve_place(c, bits) for c in cells}):
+        for shift in (1, 2):
+            blocks = {}
+            for c, h in index.items():
+                blocks.setdefault(tuple(v >> shift for v in c), set()).add(h >> n * shift)
+            assert all(len(b) == 1 for b in blocks.values())
+
+
+def test_shards_are_runs_and_prune(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, "x" * int(rng.paretovariate(1.0) * 20 % 4000), rng.choice(["de", "en", "es", "fr"]), f"https://site/{rng.choice('aaaabcdefg')}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sharded = sharding.shard_documents(docs, 40)
+    got = sharded.toPandas().sort_values("rank")
+    assert got["rank"].tolist() == list(range(4000)) and got["shard"].is_monotonic_increasing and got["cell"].is_monotonic_increasing
+    assert got["slot"].tolist() == got.groupby("shard").cumcount().tolist()
+    bounds = sharding.shard_bounds(sharded, ["source", "lang", "size"]).toPandas()
+    read = []
+    for source in sorted({r[3] for r in rows}):
+        for lang in ("de", "fr"):
+            hit = (bounds.source_low <= source) & (bounds.source_high >= source) & (bounds.lang_low <= lang) & (bounds.lang_high >= lang)
+            read.append(hit.mean())
+            own = got[(got.source == source) & (got.lang == lang)]
+            assert set(own.shard) <= set(bounds[hit].shard)
+    assert sum(read) / len(read) < 0.35  # by a hash of doc_id all shards are read
+
+
+def test_levels_keep_order(spark):
+    rows = spark.createDataFrame([(f"common/{c}", float(i)) for i, c in enumerate("mzbbbbbbbbaé")] + [(None, None)], "s string, x double")
+    s, x = sharding.equal_depth(rows, ["s", "x"], 3)
+    got = rows.select("s", "x", s.alias("a"), x.alias("b")).collect()
+    for key, level in ((lambda r: (r.s or "").encode(), lambda r: r.a), (lambda r: -1.0 if r.x is None else r.x, lambda r: r.b)):
+        order = sorted((r for r in got), key=key)
+        assert all(level(p) <= level(q) for p, q in zip(order, order[1:], strict=False)) and 0 <= level(order[0]) < level(order[-1]) < 8
+
+
+def test_bits_are_bounded_and_long_texts_count_by_size(spark):
+    rows = spark.createDataFrame([(1, 5)], "doc_id long, size long")
+    with pytest.raises(ValueError, match="bits"):
+        sharding.shard_along_curve(rows, [F.lit(0)] * 4, 2, bits=10)
+    docs = spark.createDataFrame([(1, "é" * 3_000_000, None, None, "x"), (2, "a", "en", "s", "y")], "doc_id long, text string, lang string, source string, cell string")
+    assert sorted((r.doc_id, r.size, r.slot) for r in sharding.shard_documents(docs, 2).collect()) == [(1, 6_000_016, 0), (2, 17, 0)]
