@@ -7,8 +7,14 @@ know are skipped, sizes may be unknown (live streams), and blocks may be laced
 in all three ways. The writer stores bytes as unsigned 8-bit PCM in clusters of
 laced blocks, with cues.
 
-Cases: a null text is an empty payload; a null, cut off or foreign file has no
-packets beyond the damage and says so in ``error``; equal payloads give equal files.
+Packets of tracks with stripped headers get them back; packets that are
+compressed or encrypted otherwise are listed as stored, and ``error`` says so.
+
+Cases: a null or empty text is a payload of blanks; very long texts are files of
+many clusters; a null, cut off or foreign file has no packets beyond the damage
+and says so in ``error``; equal payloads give equal files, rows that repeat a
+doc_id have a file each; an empty table gives no rows; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +34,9 @@ EBML, SEGMENT, INFO, SCALE, TRACKS, ENTRY, CLUSTER, TIME, SIMPLE, GROUP, BLOCK,
 NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_CLUSTER, DOC_TYPE, DEFAULT = (
     0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0xB3, 0xB7, 0xF7, 0xF1, 0x4282, 0x23E383,
 )
-INSIDE = {SEGMENT, INFO, TRACKS, ENTRY, CLUSTER, GROUP, CUES, POINT, CUE_PLACE}
+ENCODINGS, ENCODING, ENCODING_KIND, COMPRESSION, ALGORITHM, STRIPPED, ENCRYPTION = 0x6D80, 0x6240, 0x5033, 0x5034, 0x4254, 0x4255, 0x5035
+EBML_VERSION, READ_VERSION, ID_LENGTH, SIZE_LENGTH, DOC_VERSION, DOC_READ_VERSION, MUXING, WRITING = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4287, 0x4285, 0x4D80, 0x5741
+INSIDE = {SEGMENT, INFO, TRACKS, ENTRY, CLUSTER, GROUP, CUES, POINT, CUE_PLACE, ENCODINGS, ENCODING, COMPRESSION}
 LACING = ("none", "xiph", "fixed", "ebml")
 #: The writer's: samples a second, bytes of a packet, packets of a block, blocks of a cluster.
 HERTZ, PACKET, LACED, BLOCKS, UNIT = 8000, 1920, 8, 16, 192
@@ -100,6 +108,8 @@ class Parsed:
         self.cues: list[tuple[int, int, int]] = []
         self.tracks: dict[int, str] = {}
         self.durations: dict[int, int] = {}  # of a packet in ns, which sets laced packets apart
+        self.prefix: dict[int, bytes] = {}  # what was stripped off each packet of a track
+        self.encodings: list[dict] = []  # of the track being read
         self.scale, self.clusters, self.base, self.time, self.error = 1_000_000, 0, 0, 0, None
         try:
             if not data or number(data, 0, True)[0] != EBML:
@@ -108,6 +118,18 @@ class Parsed:
         except (ValueError, IndexError) as e:
             self.error = str(e)
 
+    def payload(self, data: bytes) -> bytes:
+        """The packets' byte ranges, joined, with stripped headers before each."""
+        return b"".join(self.prefix.get(q.track, b"") + data[q.offset : q.offset + q.size] for q in self.packets)
+
+    def encoded(self, track: int) -> None:
+        """Take down how a track's packets are stored."""
+        for e in self.encodings:
+            if e.get(ENCODING_KIND, 0) == 0 and e.get(ALGORITHM, 0) == 3 and len(self.encodings) == 1:
+                self.prefix[track] = e.get(STRIPPED, b"")
+            else:
+                self.error = f"packets of track {track} are {'encrypted' if e.get(ENCODING_KIND, 0) else 'compressed'}"
+
     def walk(self, data: bytes, at: int, end: int, parent: int) -> int:
         entry: dict = {}
         cue = [0, 0, 0]
@@ -123,6 +145,10 @@ class Parsed:
             value = lambda a=body, b=stop: int.from_bytes(data[a:b], "big")
             if kind == SEGMENT:
                 self.base = body
+            if kind == ENTRY:
+                self.encodings = []
+            elif kind == ENCODING:
+                self.encodings.append({})
             if kind == CLUSTER:
                 self.clusters += 1
                 self.time = 0
@@ -138,6 +164,10 @@ class Parsed:
                 self.time = value()
             elif kind in (NUMBER, DEFAULT):
                 entry[kind] = value()
+            elif kind in (ENCODING_KIND, ALGORITHM, STRIPPED) and self.encodings:
+                self.encodings[-1][kind] = data[body:stop] if kind == STRIPPED else value()
+            elif kind == ENCRYPTION and self.encodings:
+                self.encodings[-1][ENCODING_KIND] = 1
             elif kind == CODEC:
                 entry[kind] = data[body:stop].decode("ascii", "replace")
             elif kind == SIMPLE:
@@ -152,6 +182,7 @@ class Parsed:
         if parent == ENTRY:
             self.tracks[entry.get(NUMBER, 0)] = entry.get(CODEC, "")
             self.durations[entry.get(NUMBER, 0)] = entry.get(DEFAULT, 0)
+            self.encoded(entry.get(NUMBER, 0))
         elif parent == GROUP and BLOCK in entry:
             self.block(data, *entry[BLOCK], REFERENCE not in entry)
         elif parent == CUE_PLACE:
@@ -213,9 +244,9 @@ def padded(text: bytes) -> bytes:
 
 def written(payload: bytes) -> bytes:
     """A file whose packets, joined, are the payload."""
-    head = element(EBML, element(DOC_TYPE, "matroska"))
+    head = element(EBML, b"".join((element(EBML_VERSION, 1), element(READ_VERSION, 1), element(ID_LENGTH, 4), element(SIZE_LENGTH, 8), element(DOC_TYPE, "matroska"), element(DOC_VERSION, 4), element(DOC_READ_VERSION, 2))))
     audio = element(RATE, np.float64(HERTZ).byteswap().tobytes()) + element(CHANNELS, 1) + element(DEPTH, 8)
-    front = element(INFO, element(SCALE, 1_000_000)) + element(TRACKS, element(ENTRY, element(NUMBER, 1) + element(UID, 1) + element(KIND, 2) + element(CODEC, "A_PCM/INT/LIT") + element(DEFAULT, PACKET * 1_000_000 // 8) + element(AUDIO, audio)))
+    front = element(INFO, element(SCALE, 1_000_000) + element(MUXING, "cairn") + element(WRITING, "cairn")) + element(TRACKS, element(ENTRY, element(NUMBER, 1) + element(UID, 1) + element(KIND, 2) + element(CODEC, "A_PCM/INT/LIT") + element(DEFAULT, PACKET * 1_000_000 // 8) + element(AUDIO, audio)))
     packets = [payload[i : i + PACKET] for i in range(0, len(payload), PACKET)]
     length = 1000 * PACKET // HERTZ
     clusters, cues, place = [], [], len(front)
@@ -257,15 +288,15 @@ def write_media(docs: DataFrame) -> DataFrame:
 
 
 def packet_table(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """A row for each packet of each file: key, packet, cluster, track, codec, timestamp_ns, keyframe, lacing, offset and size; one row with ``error`` for damage."""
-    fields = "packet long, cluster long, track long, codec string, timestamp_ns long, keyframe boolean, lacing string, offset long, size long, error string"
+    """A row for each packet of each file: key, packet, cluster, track, codec, timestamp_ns, keyframe, lacing, offset, size and prefix (a stripped header); one row with ``error`` for damage."""
+    fields = "packet long, cluster long, track long, codec string, timestamp_ns long, keyframe boolean, lacing string, offset long, size long, prefix binary, error string"
 
     def make():
         def step(x: dict) -> dict:
             out = []
             for data in x["media"]:
                 p = Parsed(data)
-                rows = [{"packet": i, "codec": p.tracks.get(q.track), "error": None, **q._asdict()} for i, q in enumerate(p.packets)]
+                rows = [{"packet": i, "codec": p.tracks.get(q.track), "prefix": p.prefix.get(q.track), "error": None, **q._asdict()} for i, q in enumerate(p.packets)]
                 out.append(rows + [{"error": p.error}] * (p.error is not None))
             return {"key": x["key"], "rows": out}
 
@@ -296,7 +327,7 @@ def read_media(files: DataFrame) -> DataFrame:
             out = {**x, "payload": [], "feature": [], "error": []}
             for data in x["media"]:
                 p = Parsed(data)
-                payload = b"".join(data[q.offset : q.offset + q.size] for q in p.packets)
+                payload = p.payload(data)
                 out["payload"].append(payload)
                 out["feature"].append(feature(p, payload))
                 out["error"].append(p.error)

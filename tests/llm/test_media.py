@@ -81,3 +81,28 @@ def test_tables(spark):
     packets = media.packet_table(files.union(spark.createDataFrame([(9, 0, None)], files.schema))).toPandas()
     assert packets[packets.doc_id == 9].error.tolist() == ["no EBML header"] and (packets[packets.doc_id == 4]["size"].sum()) == 240000
     assert media.cue_table(files).where("doc_id = 4").count() == 1
+    assert media.read_media(files.limit(0)).count() == 0 and media.write_media(docs.limit(0)).count() == 0
+    twice = media.media_digests(media.read_media(media.write_media(docs.union(docs)))).toPandas()
+    assert (twice.groupby("doc_id").size() == 2).all() and (twice.groupby("doc_id").media_sha256.nunique() == 1).all()
+
+
+def test_header_names_what_readers_need():
+    data = media.written(b"x" * 192)
+    assert element(media.DOC_VERSION, 4) in data[:64] and element(media.DOC_READ_VERSION, 2) in data[:64] and element(DOC_TYPE, "matroska") in data[:64]
+    assert element(media.MUXING, "cairn") in data and element(media.WRITING, "cairn") in data
+
+
+def encoded(*encodings):
+    track = element(TRACKS, element(ENTRY, element(NUMBER, 1) + element(CODEC, "A_X") + element(media.ENCODINGS, b"".join(element(media.ENCODING, e) for e in encodings))))
+    return element(EBML, b"") + element(SEGMENT, track + element(CLUSTER, element(TIME, 0) + element(SIMPLE, laced_block([b"abc", b"de"], 0, "ebml"))))
+
+
+def test_encoded_tracks(spark):
+    strip = encoded(element(media.ENCODING_KIND, 0) + element(media.COMPRESSION, element(media.ALGORITHM, 3) + element(media.STRIPPED, b"<>")))
+    p = Parsed(strip)
+    assert p.error is None and p.payload(strip) == b"<>abc<>de"
+    for data, word in ((encoded(element(media.COMPRESSION, element(media.ALGORITHM, 0))), "compressed"), (encoded(element(media.ENCODING_KIND, 1)), "encrypted"), (encoded(element(media.ENCRYPTION, b"")), "encrypted")):
+        p = Parsed(data)
+        assert word in p.error and len(p.packets) == 2
+    files = spark.createDataFrame([(1, bytearray(strip))], "doc_id long, media binary")
+    assert [(r.size, bytes(r.prefix)) for r in media.packet_table(files).orderBy("packet").collect()] == [(3, b"<>"), (2, b"<>")]
