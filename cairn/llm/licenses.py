@@ -15,8 +15,12 @@ a shingle of some template lies; those places are found in one pass over all
 texts without a shuffle. The template side is a fixed parameter table and is
 broadcast after a check of its size.
 
-Cases: null, empty and short texts have no shingles and no rows; a text may
-match several templates; rows that repeat a doc_id are reported once; rows
+Templates of fewer than five words are one shingle of their own length, looked for
+exactly.
+
+Cases: null and empty texts have no shingles and no rows; very long texts are
+read whole; a text may match several templates, and of places that tie the first
+is given; an empty table gives no rows; other columns of docs are not read; rows that repeat a doc_id are reported once; rows
 without doc_id have no name to be reported by and are left out.
 """
 
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import cut, id_text
+from cairn.llm.shared import cut, id_text, small
 
 WORDS, HASHES = 5, 16
 #: Shingles of a window and steps between windows, for templates with at most SHORT shingles and for others.
@@ -56,6 +60,17 @@ def shingled(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, F.when(F.size("_words") >= WORDS, runs).otherwise(F.array().cast("array<bigint>")).alias("sh"))
 
 
+def short_found(docs: DataFrame, templates: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows as licenses_found() gives for templates of ``lengths`` words, all under WORDS: each is one run of words."""
+    words = lambda rows, *keep: rows.select(*keep, F.array_remove(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), "").alias("w"))
+    run = lambda n: lambda i: F.xxhash64(F.lit(n), *[F.get("w", i + k) for k in range(n)])
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(run(n)(i).alias("key"), i.alias("place"))))
+    known = words(templates, "license").select("license", F.coalesce(*[F.when(F.size("w") == n, run(n)(F.lit(0))) for n in lengths]).alias("key")).where("key is not null")
+    arrays = [F.coalesce(runs(n), F.array().cast("array<struct<key:bigint,place:int>>")) for n in lengths]
+    hits = words(docs, "doc_id").select("doc_id", F.inline(F.concat(*arrays))).join(small(known), "key")
+    return hits.groupBy("doc_id", "license").agg(F.lit(1).alias("matched"), F.lit(1).alias("shingles"), F.min("place").alias("place"))
+
+
 def bands(window: Column) -> Column:
     """Minima of a window under each random map, with the map's number."""
     return F.array(*[F.struct(F.lit(j).alias("band"), F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(j)))).alias("low")) for j in range(HASHES)])
@@ -73,6 +88,8 @@ def licenses_found(docs: DataFrame, templates: dict[str, str] | DataFrame | None
     spark: SparkSession = docs.sparkSession
     if not isinstance(templates, DataFrame):
         templates = spark.createDataFrame(list((templates or TEMPLATES).items()), "license string, text string")
+    n_words = F.size(F.array_remove(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), ""))
+    short = sorted(r.n for r in templates.select(n_words.alias("n")).distinct().where(f"n between 1 and {WORDS - 1}").collect())  # at most four lengths
     known = shingled(templates, "license").withColumn("own", F.array_distinct("sh"))
     known = cut(known.where(F.size("sh") > 0).withColumn("width", F.when(F.size("sh") <= SHORT, 0).otherwise(1)))
     all_starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("sh") - F.when(F.col("width") == 0, WIDTHS[0]).otherwise(WIDTHS[1]) + 1))
@@ -105,4 +122,5 @@ def licenses_found(docs: DataFrame, templates: dict[str, str] | DataFrame | None
     near = near.select("doc_id", "license", F.col("start").alias("place"), F.size(F.array_intersect("own", region)).alias("matched"), F.size("own").alias("shingles"))
     near = near.where(F.col("matched") * 100 >= F.col("shingles") * percent)
     best = F.max(F.struct("matched", (-F.col("place")).alias("minus"), "shingles")).alias("best")
-    return near.groupBy("doc_id", "license").agg(best).select("doc_id", "license", "best.matched", "best.shingles", (-F.col("best.minus")).alias("place"))
+    out = near.groupBy("doc_id", "license").agg(best).select("doc_id", "license", "best.matched", "best.shingles", (-F.col("best.minus")).alias("place"))
+    return out.unionByName(short_found(id_text(docs).where("doc_id is not null"), templates, short)) if short else out

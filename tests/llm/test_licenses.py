@@ -37,10 +37,20 @@ def test_found_as_by_brute_force(spark):
 def test_own_templates_and_empty(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta")], "doc_id long, text string")
     got = licenses.licenses_found(docs, {"x": "beta gamma delta epsilon zeta", "short": "alpha beta"}).collect()
-    assert [(r.doc_id, r.license, r.matched, r.shingles) for r in got] == [(1, "x", 1, 1)]
+    assert sorted((r.license, r.matched, r.shingles, r.place) for r in got) == [("short", 1, 1, 0), ("x", 1, 1, 0)]
+    many = spark.createDataFrame([(1, "a. B a b c"), (1, "a. B a b c"), (2, "b"), (3, None), (4, "word " * 200_000 + "a b")], "doc_id long, text string")
+    got = licenses.licenses_found(many, {"ab": "A B", "b": "b", "none": "??"}).collect()
+    assert sorted((r.doc_id, r.license, r.place) for r in got) == [(1, "ab", 0), (1, "b", 1), (2, "b", 0), (4, "ab", 200_000), (4, "b", 200_001)]
     assert licenses.licenses_found(docs.limit(0)).count() == 0
 
 
 def test_rows_without_doc_id_are_left_out(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License"), (None, "Released under the MIT License")], "doc_id long, text string")
     assert [(r.doc_id, r.license) for r in licenses.licenses_found(docs).collect()] == [(1, "mit-notice")]
+
+
+def test_long_texts_and_ties(spark):
+    notice = "Released under the MIT License. "
+    docs = spark.createDataFrame([(1, "word " * 100_000 + notice + "word " * 50 + notice, "x")], "doc_id long, text string, license string")
+    (row,) = licenses.licenses_found(docs).collect()
+    assert (row.doc_id, row.license) == (1, "mit-notice") and row.place in (99_999, 100_000)  # the first word of a window over it
