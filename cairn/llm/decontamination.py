@@ -19,8 +19,10 @@ Words are runs of letters and digits, in lower case. Items of fewer than four
 words have one exact run of their own length; items without words are not
 looked for.
 
-Cases: null and empty texts have no words; equal items are all reported; rows
-that repeat a doc_id are compared each, and reported once; rows without doc_id
+Cases: null and empty texts have no words; very long texts are read whole; equal
+items are all reported, and so are placements that tie; an empty table of
+documents or items gives no rows; other columns, whatever their names, are not
+read; rows that repeat a doc_id are compared each, and reported once; rows without doc_id
 are compared too, and reported under null. Rows are dropped by their texts, so
 that a missing or repeated doc_id makes no difference.
 """

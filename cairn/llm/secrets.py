@@ -13,8 +13,11 @@ A rule whose pattern ordinary words would meet joins the combined automaton with
 its least length written out as repetition (``hit``); the final spans use the
 pattern as given and drop those that fail the length.
 
-Cases: null and empty texts have no spans; offsets count code points; equal
-texts have equal spans. Memory is that of one text.
+Cases: null and empty texts have no spans; very long texts are scanned whole, in
+memory of that of one text; offsets count code points; equal texts have equal
+spans; of rules that match at one place each has its span, in the order of the
+rules; rows that repeat a doc_id have a row of spans each; an empty table gives
+no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ word mark, which is a piece of its own where no longer piece fits (digits, CJK);
 inside a word every piece fits; byte and control pieces are left out.
 
 Cases: null and empty texts have no tokens; very long words cost time in
-proportion to their length and are never kept in the cache.
+proportion to their length and are never kept in the cache; the longest piece
+wins, so there are no ties; rows that repeat a doc_id are counted each; an empty
+table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -58,3 +58,10 @@ def test_query(spark, tmp_path):
         said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, b, k in want)
         assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == n for *_, k in want) for n in range(3))
+
+
+def test_empty_table_long_text_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000 + "token=abcdef", "x", 1)], "doc_id long, text string, spans string, kind int")
+    (row,) = secrets.scan_secrets(docs).collect()
+    assert [(s.kind, s.start, s.end) for s in row.spans] == [("assign", 2_000_000, 2_000_012)]
+    assert secrets.scan_secrets(docs.limit(0)).count() == 0

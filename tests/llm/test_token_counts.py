@@ -54,3 +54,22 @@ def test_full_vocabulary(spark):
     docs = spark.createDataFrame([(1, "2024 3.14"), (2, "\uffff 2024")], "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in token_counts.token_counts(docs, path).collect()}
     assert got == {1: (2, 10, 0), 2: (2, 6, 1)}
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, n_tokens int")
+    assert token_counts.token_counts(empty, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_query_counts_like_greedy_matching_with_the_real_vocabulary(spark, tmp_path):
+    import sentencepiece
+
+    from cairn.llm import queries
+
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = {m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
+    texts = ["The quick brown fox, 2024!", "über Straßen — ça va? 中国", None, "supercalifragilistic antidisestablishmentarianism"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op8_token_counts(spark, str(tmp_path)).collect():
+        counts = [brute("▁" + w, pieces, pieces) for w in (texts[r.doc_id] or "").split()]
+        assert (r.n_words, r.n_tokens) == (len(counts), sum(c % UNKNOWN for c in counts))
