@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import by_bytes, id_text
+from cairn.llm.shared import by_bytes, id_text, in_small_batches
 
 #: Penalties in tokens of padding.
 SENTENCE_CUT, WORD_CUT = 4, 64
@@ -63,7 +63,7 @@ class Tokens:
     the mark of a word's end. Beyond ``most`` parts the often used half is kept.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,6 +72,10 @@ class Tokens:
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all parts."""
         self.number = _Numbers()
         self.ids, self.starts, self.used = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
@@ -211,7 +215,7 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, is_end: np.ndarray, length: in
     return places, kind[places]
 
 
-def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, block: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, block: int = 1_000_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,8 +267,10 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, block:
                         yield from settle(False)
         if held:
             yield from settle(True)
+        encode.clear()  # a worker that waits for its next task holds no parts
 
     kind = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    in_small_batches(docs.sparkSession)
     return id_text(docs).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
