@@ -15,8 +15,11 @@ The fit uses at most about ``fit_rows`` labelled rows, chosen by a hash of
 doc_id; the bound is a parameter. Rows with crc32(doc_id as text) mod 5 = 0 are
 held out: no label of theirs is used.
 
-Cases: null texts count as empty and have a score; labels other than 0 and 1
-are no labels; without labels every score is 1; equal texts have equal scores.
+Cases: null texts count as empty and have a score; very long texts are measured
+whole; labels other than 0 and 1 are no labels; without labels every score is 1;
+rows that repeat a doc_id are scored each, and a label counts for each of them;
+equal texts have equal scores, so ties stay ties; empty tables give no rows;
+other columns pass through the filter untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import cut, id_text, map_rows
+from cairn.llm.shared import cut, id_text, kept_rows, map_rows
 
 FIT_PARTS, BINS = 16, 1000
 #: Kinds of bytes: 0 other letters and UTF-8 rest, 1 upper case, 2 digit, 3 blank, 4 line end, 5 sentence mark, 6 exclamation, 7 bar, 8 other mark.
@@ -103,12 +106,17 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
 
 
-def fit(stats: DataFrame, labels: DataFrame, target: str = "quality", fit_rows: int = 200_000, waves: int = 192, width: float = 1.0, ridge: float = 1e-3) -> Model:
-    """Model of labels[target] (0 or 1) by stats; width: the kernel's, in root mean square distances."""
+def label_sample(labels: DataFrame, target: str = "quality", fit_rows: int = 200_000) -> DataFrame:
+    """doc_id and label (0 or 1) of at most about ``fit_rows`` rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).where("label in (0, 1)").where(fold() != 0)
     n = known.count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.lit(int(1e6 * fit_rows / n)))
+    return known
+
+
+def fit(stats: DataFrame, known: DataFrame, waves: int = 192, width: float = 1.0, ridge: float = 1e-3) -> Model:
+    """Model of known.label (0 or 1) by stats; width: the kernel's, in root mean square distances."""
     rows = cut(stats.join(known, "doc_id").withColumn("fold", fold()).repartition(FIT_PARTS, F.xxhash64("doc_id")))
 
     def sums(of, width: int, where: str) -> np.ndarray:
@@ -181,27 +189,28 @@ def scored(stats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **parameters) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, target: str = "quality", fit_rows: int = 200_000, **parameters) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
     stats = cut(statistics(docs))
-    return scored(stats, fit(stats, labels, **parameters), threshold)
+    return scored(stats, fit(stats, label_sample(labels, target, fit_rows), **parameters), threshold)
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **parameters) -> DataFrame:
-    """docs without those that score below the threshold; scoring each text as it passes, so that nothing is joined."""
-    import pyarrow as pa
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, target: str = "quality", fit_rows: int = 200_000, **parameters) -> DataFrame:
+    """docs without those that score below the threshold.
 
-    stats = cut(statistics(docs))
-    model = fit(stats, labels, **parameters)
-    at = docs.columns.index("text")
+    The model is fitted on the texts of the sampled labels alone; each text is
+    then scored as it passes, so that no text is shuffled or joined.
+    """
+    known = cut(label_sample(labels, target, fit_rows))
+    ids = known.select("doc_id").distinct()
+    if known.count() <= 2 * fit_rows:  # a hash chooses about fit_rows of them; 16 bytes each
+        ids = F.broadcast(ids)
+    model = fit(statistics(id_text(docs).join(ids, "doc_id", "left_semi")), known, **parameters)
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                keep = model.score(statistics_of([t or "" for t in b.column(at).to_pylist()])) >= threshold
-                yield b.filter(pa.array(keep))
+    def make():
+        return lambda texts: model.score(statistics_of([t or "" for t in texts])) >= threshold
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, make, "text")
 
 
 def held_out_auc(scores: np.ndarray, labels: np.ndarray) -> float:

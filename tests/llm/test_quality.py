@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 
 from cairn.llm import quality
+from cairn.llm.shared import cut
 
 
 def corpus(n):
@@ -51,3 +52,37 @@ def test_no_labels_and_no_rows(spark):
 def test_rising_fit():
     pools = quality.rising(np.array([0.1, 0.5, 0.3, 0.2, 0.9]), np.array([1, 1, 1, 2, 1]))
     assert [round(v, 4) for v, *_ in pools] == [0.1, 0.3, 0.9] and sum(n for *_, n in pools) == 5
+
+
+def test_fit_matches_plain_ridge_on_cosine_features(spark):
+    rows = corpus(400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.fit(cut(quality.statistics(docs)), quality.label_sample(labels))
+    stats = quality.statistics_of([t for _, t, _ in rows]).astype(float)
+    y = np.array([y for *_, y in rows], float)
+    kept = spark.createDataFrame([(i,) for i, *_ in rows], "doc_id long").select("doc_id", quality.fold().alias("f")).toPandas().set_index("doc_id").f
+    own = np.array([kept[i] not in (0, 4) for i, *_ in rows])
+    x = stats[own]
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.sqrt(np.maximum(x.var(0), 1e-6)))
+    z = np.clip((stats - model.mean) / model.scale, -6, 6)
+    waves = np.cos(z @ model.project + model.shift) * np.sqrt(2 / len(model.shift))
+    features = np.column_stack([waves, z / 10, np.ones(len(z))])
+    weights = np.linalg.solve(features[own].T @ features[own] + 1e-4 * own.sum() * np.eye(features.shape[1]), features[own].T @ y[own])
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    raw = np.clip(features @ weights, -1, 2)
+    assert np.allclose(model.score(stats), np.interp(raw, model.knots, model.values), atol=1e-6)
+    # inner products of the waves approximate a Gaussian kernel of the standardised statistics
+    near = np.exp(-((z[:60, None] - z[None, :60]) ** 2).sum(2) / (2 * z.shape[1]))
+    assert np.abs(waves[:60] @ waves[:60].T - near).mean() < 0.06
+
+
+def test_long_texts_ties_and_repeated_rows(spark):
+    rows = corpus(300)
+    long = "word " * 200_000
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t, _ in rows] + [(900, long, 1, 2), (901, long, 3, 4), (5, rows[5][1], 1, 2), (5, rows[6][1], 1, 2)], "doc_id long, text string, score int, label int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(5, rows[5][2])], "doc_id long, quality int")
+    got = quality.quality_scores(docs, labels).toPandas()
+    assert len(got) == 304 and got[got.doc_id.isin([900, 901])].score.nunique() == 1
+    kept = quality.drop_low_quality(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == int((got.predicted == 1).sum())
