@@ -8,27 +8,37 @@ out, such as phone numbers without a plus sign. Its spans are added where they
 touch no base span, under the kinds crf_email to crf_phone.
 
 Texts are worked off in numpy steps of bounded size: word bounds and shapes come
-from arrays of code points, and Viterbi runs over all lines of a step at once.
-A line is a sequence; longer ones are taken in stretches of STRETCH words.
-
-Cases: null and empty texts have no spans; offsets count code points, the end
-excluded; equal texts have equal spans.
+from arrays of code points. A line is a sequence, however long. A word whose
+label 0 leads every other by more than any neighbours could make up has label 0
+on the best path; Viterbi then runs over the stretches between such words, all
+of a step side by side, which gives the same path as over the whole lines.
+
+Stretches of one label are cut into spans that can be such a thing: cards are 13
+to 19 digits that pass Luhn, phones 7 to 15 digits, emails and addresses are
+single words.
+
+Cases: null and empty texts have no spans; very long texts and lines are decoded
+whole; offsets count code points, the end excluded; equal texts have equal spans;
+of labels that tie the first wins; rows that repeat a doc_id have a row of spans
+each; an empty table gives no rows; other columns are left alone, whatever their
+names, and a masked table has the columns of its input.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import STEP_BYTES, id_text, map_rows
+from cairn.llm.shared import STEP_BYTES, by_bytes, id_text, in_small_batches, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
-STRETCH = 256
 
 # ---- base spans
 
@@ -143,9 +153,7 @@ def words_of(text: str) -> Words:
         edge = edge * n + value
     lines = np.concatenate([np.zeros(1, np.uint32), np.cumsum(kind == 9, dtype=np.uint32)])[start]
     fresh = np.flatnonzero(np.diff(lines, prepend=lines[:1] - 1 if len(lines) else 0)) if len(lines) else np.zeros(0, np.int64)
-    bounds = np.concatenate([fresh, [len(start)]])
-    inside = np.arange(len(start)) - np.repeat(fresh, np.diff(bounds))
-    return Words(start, end, shape, edge, np.concatenate([np.flatnonzero(inside % STRETCH == 0), [len(start)]]))
+    return Words(start, end, shape, edge, np.concatenate([fresh, [len(start)]]))
 
 
 # ---- the random field
@@ -173,19 +181,35 @@ def neighbours(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
+def best_gain(f: Field) -> np.ndarray:
+    """The most that label k instead of 0 can win on the way in and out of a word, for each k."""
+    into = np.vstack([f.step - f.step[:, :1], f.first - f.first[:1]]).max(0)
+    out = np.maximum((f.step - f.step[:1]).max(1), 0)
+    return into + out
+
+
 def decoded(w: Words, f: Field) -> np.ndarray:
-    """Best label of each word (Viterbi), all sequences side by side, the longest first."""
+    """Best label of each word (Viterbi): words that are surely 0 part the lines into stretches, worked off side by side, the longest first."""
     if not len(w.shape):
         return np.zeros(0, np.int8)
     before, after = neighbours(w)
-    score = (f.shape[w.shape] + f.edge[w.edge] + f.before[before] + f.after[after]).astype(np.float32)
-    starts, sizes = w.sequences[:-1], np.diff(w.sequences)
-    order = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[order], sizes[order]
-    step = f.step.astype(np.float32)
-    best = f.first.astype(np.float32) + score[starts]
-    back = np.zeros((len(w.shape), LABELS), np.int8)
-    final = np.empty((len(starts), LABELS), np.float32)
+    score = f.shape[w.shape] + f.edge[w.edge] + f.before[before] + f.after[after]
+    open_ = (score[:, 1:] + (best_gain(f)[1:] + 1e-6) >= score[:, :1]).any(1)
+    out = np.zeros(len(w.shape), np.int8)
+    if not open_.any():
+        return out
+    heads = np.zeros(len(w.shape) + 1, bool)
+    heads[w.sequences] = True
+    begins = open_ & (heads[:-1] | ~np.concatenate([[False], open_[:-1]]))
+    ends = open_ & (heads[1:] | ~np.concatenate([open_[1:], [False]]))
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    order = np.argsort(starts - stops, kind="stable")
+    starts, stops = starts[order], stops[order]
+    sizes = stops - starts
+    place = np.cumsum(open_) - 1  # of a word among the open ones
+    best = np.where(heads[starts][:, None], f.first, f.step[0]) + score[starts]
+    back = np.zeros((int(open_.sum()), LABELS), np.int8)
+    final = np.empty((len(starts), LABELS))
     live = len(starts)
     alive = len(starts) - np.searchsorted(sizes[::-1], np.arange(sizes[0] + 1), "right")
     for t in range(1, sizes[0]):
@@ -193,23 +217,23 @@ def decoded(w: Words, f: Field) -> np.ndarray:
         final[n:live] = best[n:live]
         best, live = best[:n], n
         at = starts[:n] + t
-        top, arg = best[:, :1] + step[0], np.zeros((n, LABELS), np.int8)
+        top, arg = best[:, :1] + f.step[0], np.zeros((n, LABELS), np.int8)
         for k in range(1, LABELS):
-            other = best[:, k : k + 1] + step[k]
+            other = best[:, k : k + 1] + f.step[k]
             better = other > top
             top[better] = other[better]
             arg[better] = k
-        back[at] = arg
+        back[place[at]] = arg
         best = top + score[at]
     final[:live] = best
-    out = np.zeros(len(w.shape), np.int8)
+    final += np.where(heads[stops][:, None], 0, f.step[:, 0])  # on to the sure word behind
     label = final.argmax(1).astype(np.int8)
     for t in range(int(sizes[0]) - 1, -1, -1):
         n = alive[t]
         at = starts[:n] + t
         if t + 1 < sizes[0]:
             more = alive[t + 1]
-            label[:more] = back[starts[:more] + t + 1, label[:more]]
+            label[:more] = back[place[starts[:more] + t + 1], label[:more]]
         out[at] = label[:n]
     return out
 
@@ -323,6 +347,28 @@ def default_field() -> Field:
 # ---- spans of texts
 
 
+def plausible(kind: str, words: list[str]) -> bool:
+    """Whether words beside each other can be one span of a kind."""
+    digits = "".join(c for x in words for c in x if "0" <= c <= "9")
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":  # a plus sign begins a number, and so does a bracket that doesn't follow one
+        fresh = [k for k, x in enumerate(words) if x[0] == "+" or x[0] == "(" and not (k == 1 and words[0][0] == "+")]
+        return 7 <= len(digits) <= 15 and not any(fresh)
+    return len(words) == 1
+
+
+def split_run(kind: str, words: list[str]) -> list[tuple[int, int]]:
+    """Bounds of the spans in a run of words of one label: from the left, the longest plausible one at each word."""
+    out, i = [], 0
+    while i < len(words):
+        j = next((j for j in range(min(len(words), i + 8), i, -1) if plausible(kind, words[i:j])), None)
+        if j:
+            out.append((i, j))
+        i = j or i + 1
+    return out
+
+
 def found_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     """Spans of each text: base ones, then added ones, each by kind and start."""
     joined = "\n".join(texts)
@@ -338,17 +384,24 @@ def found_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
         else:
             runs.append((int(labels[i]), i, i))
     out = [base_spans(t) for t in texts]
+    taken: dict[int, tuple[list[int], list[int]]] = {}  # of a text: starts of its base spans, and the furthest end up to each
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    for label, i, j in runs:
-        kind, a, b = KINDS[label - 1], int(w.start[i]), int(w.end[j])
-        while a < b and not (joined[a].isalnum() or joined[a] in "+("):
-            a += 1
-        while a < b and not (joined[b - 1].isalnum() or joined[b - 1] == ")"):
-            b -= 1
-        k = int(np.searchsorted(starts, a, "right")) - 1
-        a, b = a - int(starts[k]), b - int(starts[k])
-        if a < b and all(b <= s or e <= a for _, s, e in out[k]):
-            out[k].append((f"crf_{kind}", a, b))
+    for label, first, last in runs:
+        kind = KINDS[label - 1]
+        for i, j in split_run(kind, [joined[a:b] for a, b in zip(w.start[first : last + 1].tolist(), w.end[first : last + 1].tolist(), strict=True)]):
+            a, b = int(w.start[first + i]), int(w.end[first + j - 1])
+            while a < b and not (joined[a].isalnum() or joined[a] in "+("):
+                a += 1
+            while a < b and not (joined[b - 1].isalnum() or joined[b - 1] == ")"):
+                b -= 1
+            k = int(np.searchsorted(starts, a, "right")) - 1
+            if k not in taken:
+                own = sorted((s, e) for _, s, e in out[k])
+                taken[k] = [s for s, _ in own], list(accumulate((e for _, e in own), max))
+            a, b = a - int(starts[k]), b - int(starts[k])
+            before = bisect_left(taken[k][0], b)  # base spans that begin before the end
+            if a < b and (not before or taken[k][1][before - 1] <= a):
+                out[k].append((f"crf_{kind}", a, b))
     return out
 
 
@@ -396,14 +449,18 @@ def mask_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
     field = field or default_field()
     columns = docs.columns
 
-    def run(batches):
-        for b in batches:
-            texts = b.column(columns.index("text")).to_pylist()
-            found = [s for part in in_steps([t or "" for t in texts]) for s in found_spans(part, field)]
-            texts = [None if t is None else masked(t, s) if s else t for t, s in zip(texts, found, strict=True)]
-            arrays = list(b.columns)
-            arrays[columns.index("text")] = pa.array(texts, type=b.schema.field("text").type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
+    at = columns.index("text")
 
+    def run(batches):
+        for batch in batches:
+            for b in by_bytes(batch):
+                texts = b.column(at).to_pylist()
+                found = [s for part in in_steps([t or "" for t in texts]) for s in found_spans(part, field)]
+                texts = [None if t is None else masked(t, s) if s else t for t, s in zip(texts, found, strict=True)]
+                arrays = list(b.columns)
+                arrays[at] = pa.array(texts, type=b.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
+
+    in_small_batches(docs.sparkSession)
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns) if "n_chars" in columns else out
