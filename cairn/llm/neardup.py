@@ -18,18 +18,25 @@
    Classes that agree with such a head in at least CLUSTER coordinates make up its
    cluster. What is left of a cluster outside its largest
    component is compared with all of the cluster in blocks: a task holds about REST
-   classes of the one kind and BLOCK of the other, passes over pairs that are
-   connected already, and returns links, not pairs. So a dense group costs rows in
-   proportion to its size. Members of a list outside its largest cluster are at
-   last compared with those of other clusters: no list or group is capped.
+   classes of the one kind and BLOCK of the other, and of both a bounded number of
+   bytes, passes over pairs that are connected already, and returns links, not
+   pairs. Where most of a cluster is one component this costs in proportion to its
+   size; a rest of many classes is copied to every block of them, which is its
+   square over REST and BLOCK. Members of a list outside its largest cluster are
+   at last compared with those of other clusters, in the join itself: no list or
+   group is capped.
 5. Components by contraction of minimal neighbours, in tables, never in the driver.
 
 match = 38 of 64 and ALIKE of 24 bytes miss a pair of similarity 0.8 with a chance
 of about 4e-5; pairs above it, and groups held together by several links, with less.
 
 Cases: a null or empty text has no shingles and is linked with nothing; with
-fewer words than a shingle the whole sequence is the one shingle; rows that
-repeat a doc_id are one document; rows without doc_id are linked with nothing.
+fewer words than a shingle the whole sequence is the one shingle; very long texts
+are taken whole; rows that repeat a doc_id and its text are one document; texts
+that share a doc_id are documents of their own under one name, each with its own
+component; rows without doc_id are linked with nothing; of links that tie in
+strength any may be found first, which leaves components as they are; an empty
+table gives no rows; other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -42,14 +49,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.shared import Memo, cut, id_text, map_rows
+from cairn.llm.shared import Memo, cut, id_text, map_rows, small
 
 #: Low bytes of so many coordinates travel with a posting, as longs; so many of them agree for a pair that is looked up.
 MINI, ALIKE = 24, 9
-#: Documents whose full sets are asked for are found by a broadcast of their ids up to so many (16 bytes each), by shuffle beyond.
-BROADCAST_IDS = 2_000_000
 #: Lists up to so many classes give all pairs; classes of the rest and of all in a block of a cluster.
-SMALL, REST, BLOCK = 12, 256, 2048
+SMALL, REST, BLOCK = 12, 256, 1024
+#: Bytes of the sets of each of the two.
+REST_BYTES, BLOCK_BYTES = 16_000_000, 32_000_000
 #: Coordinates (and low bytes of MINI) in which a class agrees with its cluster's centre; classes met by chance agree in two or three.
 CLUSTER, CLUSTER_ALIKE = 16, 5
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -243,14 +250,42 @@ def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(labels)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordinates: int = 64, match: int = 38, centers: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (doc_id = component_id)."""
+def with_rows(docs: DataFrame, nulls: bool) -> tuple[DataFrame, bool]:
+    """docs with __row, and whether it differs from doc_id anywhere.
+
+    __row is the doc_id; where a doc_id stands on different texts, all but one of
+    them have a hash of both instead, and so have rows without doc_id if ``nulls``.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    own = F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), text).bitwiseAND(F.lit((1 << 63) - 1))
+    named = docs.select(doc_id.alias("__id"), text.alias("__text")).groupBy("__id").agg(F.min("__text").alias("__low"), F.max("__text").alias("__high"))
+    odd = cut(named.where("__low <> __high or __id is null").select("__id", "__low"))
+    if (odd if nulls else odd.where("__id is not null")).isEmpty():
+        return docs.withColumn("__row", doc_id), False
+    out = docs.join(small(odd.where("__id is not null")), doc_id == F.col("__id"), "left")
+    row = F.when(doc_id.isNull(), own if nulls else F.lit(None)).when(F.col("__low").isNull() | (F.col("__low") == text), doc_id).otherwise(own)
+    return out.withColumn("__row", row).drop("__id", "__low"), True
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (doc_id = component_id); parameters: those of linked."""
+    rows, differ = with_rows(docs.select("doc_id", "text"), False)
+    if not differ:
+        return linked(docs, **parameters)
+    names = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("name")).where("row is not null").distinct()
+    found = linked(rows.select(F.col("__row").alias("doc_id"), "text"), **parameters).withColumnRenamed("doc_id", "row").join(names, "row", "left")
+    found = cut(found)
+    smallest = found.where("component_id is not null").groupBy("component_id").agg(F.min("name").alias("smallest"))
+    found = found.join(smallest, "component_id", "left")
+    return found.select(F.col("name").alias("doc_id"), "n_shingles", F.col("smallest").alias("component_id"), F.coalesce(F.col("name") == F.col("smallest"), F.lit(True)).alias("kept"))
+
+
+def linked(docs: DataFrame, percent: int = 80, words: int = 2, coordinates: int = 64, match: int = 38, centers: int = 2) -> DataFrame:
+    """What near_duplicates() returns, for docs of which no doc_id stands on different texts."""
     sketches = cut(sketch(docs, words, coordinates))
     known = sketches.where("n_shingles > 0 and doc_id is not null")
-    repeated = not known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    single = (lambda df: df.dropDuplicates(["rep"])) if repeated else (lambda df: df)
     classes = cut(known.groupBy("d1", "d2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep")))
-    sigs = single(classes.select("rep", "sig"))
+    sigs = classes.select("rep", "sig")
 
     posts = postings(sigs, coordinates)
     shared = posts.groupBy("key").agg(F.count("*").alias("freq")).where("freq > 1")
@@ -270,10 +305,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordina
         return step
 
     def sets_of(reps: DataFrame) -> DataFrame:
-        reps = cut(reps.select(F.col("rep").alias("doc_id")).distinct())
-        if reps.count() <= BROADCAST_IDS:
-            reps = F.broadcast(reps)
-        return cut(single(map_rows(id_text(docs).join(reps, "doc_id", "left_semi"), make, "rep long, set binary")))
+        found = small(reps.select(F.col("rep").alias("doc_id")).distinct())
+        return cut(map_rows(id_text(docs).join(found, "doc_id", "left_semi"), make, "rep long, set binary").dropDuplicates(["rep"]))
 
     short = lists.where(F.col("freq") <= SMALL)
     other = short.select("key", F.col("rep").alias("a"), *[F.col(m).alias(f"a_{m}") for m in MINIS])
@@ -296,9 +329,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordina
     members = clusters.join(labels, "rep")
     sizes = members.groupBy("center", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("center").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("left")).where("left > 0")
-    members = cut(members.join(main, "center"))
-    full = members.join(sigs, "rep").join(sets_of(members), "rep")
-    chunks, blocks = F.ceil(F.col("left") / REST).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    members = cut(members.join(small(main), "center").join(classes.select("rep", (8 * F.col("n_shingles")).alias("bytes")), "rep"))
+    weights = members.groupBy("center").agg(F.sum("bytes").alias("all_bytes"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("bytes"))).alias("left_bytes"))
+    full = members.join(small(weights), "center").join(sigs, "rep").join(sets_of(members), "rep")
+    chunks = F.greatest(F.ceil(F.col("left") / REST), F.ceil(F.col("left_bytes") / REST_BYTES)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("all_bytes") / BLOCK_BYTES)).cast("int")
     place = F.xxhash64("rep", F.lit(1))
     columns = ["center", "chunk", "block", "rest", "rep", "comp", "sig", "set"]
     rest = full.where("comp <> main").withColumn("chunk", F.pmod(place, chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("rest", F.lit(True))
@@ -324,12 +359,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, coordina
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with one document of each group, the one with the smallest doc_id; of rows that repeat a doc_id one stays."""
-    found = cut(near_duplicates(docs, **parameters))
-    dropped = cut(found.where("not kept").select("doc_id").distinct())
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    out = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    if not found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    """docs with one document of each group, the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id and its text one stays. Texts that share a
+    doc_id, and rows without doc_id, are judged each by its text.
+    """
+    rows, _ = with_rows(docs, True)
+    found = cut(linked(rows.select(F.col("__row").alias("doc_id"), "text"), **parameters))
+    dropped = small(found.where("not kept").select(F.col("doc_id").alias("__row")).distinct())
+    out = rows.join(dropped, "__row", "left_anti")
+    if not found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        out = out.dropDuplicates(["__row"])
+    return out.select(*docs.columns)
