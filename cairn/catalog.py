@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from cairn.functions.predicates import field_type
 from cairn.operators import aggregates
 from cairn.operators.ranks import Leaderboard
+from cairn.operators.versions import orderable
 from cairn.plans.query import Query, from_clauses
 
 INDEX_KINDS = ("value", "rank", "count", "sum", "min", "max", "version", "permuted", "vector", "spatial")
@@ -141,25 +142,41 @@ class Store:
     def upsert(self, records: DataFrame) -> Store:
         """Store with records put in; of those that share a key the greatest by all fields stays."""
         new = records.select(*self.df.columns)
-        new = new.groupBy(*self.kind.key).agg(F.max(F.struct(*new.columns)).alias("_r")).select("_r.*")
+        self.check_dimensions(new)
+        new = new.groupBy(*self.kind.key).agg(F.max_by(F.struct(*new.columns), F.struct(*orderable(new, new.columns))).alias("_r")).select("_r.*")
         kept = self.df.join(new.select(*self.kind.key), list(self.kind.key), "left_anti")
         return Store(kept.unionByName(new), self.kind, self.indexes)
 
+    def check_dimensions(self, records: DataFrame) -> None:
+        """Raise if a vector has another length than its index names in the option ``dimensions``; one aggregate."""
+        wanted = {i.fields[0]: dict(i.options)["dimensions"] for i in self.indexes.values() if i.kind == "vector" and "dimensions" in dict(i.options)}
+        if wanted:
+            wrong = records.agg(*[F.count_if(F.size(f) != n).alias(f) for f, n in wanted.items()]).first()
+            for f, n in wanted.items():
+                if wrong[f]:
+                    raise ValueError(f"{wrong[f]} vectors in {f} have not {n} dimensions")
+
+    def violations(self, index: str) -> DataFrame:
+        """Values of a unique index that several records share, with their number; nulls are no values."""
+        fields = self.indexes[index].fields
+        rows = self.df.select(*[F.col(f).alias(f.replace(".", "_")) for f in fields]).dropna()
+        return rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).where("n > 1")
+
     def delete(self, keys: DataFrame) -> Store:
         return Store(self.df.join(keys.select(*self.kind.key).distinct(), list(self.kind.key), "left_anti"), self.kind, self.indexes)
 
     def delete_all(self) -> Store:
         return Store(self.df.where(F.lit(False)), self.kind, self.indexes)
 
-    def related(self, name: str, others: DataFrame, how: str = "inner") -> DataFrame:
-        """Join along a declared relationship, in any of Spark's modes."""
+    def related(self, name: str, others: DataFrame, how: str = "inner", where: Column | None = None) -> DataFrame:
+        """Join along a declared relationship, in any of Spark's modes (outer, semi and anti ones too); ``where`` adds a condition between the sides, l and r."""
         relation = next(r for r in self.kind.relationships if r.name == name)
         left, right = self.df.alias("l"), others.alias("r")
         condition = None
         for a, b in relation.on:
             test = F.col(f"l.{a}") == F.col(f"r.{b}")
             condition = test if condition is None else condition & test
-        return left.join(right, condition, how)
+        return left.join(right, condition if where is None else condition & where, how)
 
 
 class Context:

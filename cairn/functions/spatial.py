@@ -6,6 +6,9 @@ Exact predicates are the contract; cell codes only help layouts and pruning.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,9 +26,14 @@ def haversine(lat1: Column, lon1: Column, lat2: Column | float, lon2: Column | f
 
 
 def within_radius(lat: Column, lon: Column, center: tuple[float, float], meters: float) -> Column:
-    """Exact distance test behind a latitude band that reaches the scan."""
+    """Exact distance test behind bands of latitude and, away from poles and antimeridian, longitude that reach the scan."""
     reach = math.degrees(meters / EARTH_RADIUS_M) * (1 + 1e-9) + 1e-9
-    return lat.between(center[0] - reach, center[0] + reach) & (haversine(lat, lon, *center) <= meters)
+    band = lat.between(center[0] - reach, center[0] + reach)
+    if abs(center[0]) + reach < 90:
+        wide = math.degrees(math.asin(min(1.0, math.sin(math.radians(reach)) / math.cos(math.radians(center[0]))))) + 1e-9
+        if center[1] - wide >= -180 and center[1] + wide <= 180:
+            band = band & lon.between(center[1] - wide, center[1] + wide)
+    return band & (haversine(lat, lon, *center) <= meters)
 
 
 def within_box(columns: list[Column], low: list[float], high: list[float]) -> Column:
@@ -105,6 +113,11 @@ def morton_value(coordinates: list[float], bits: int) -> int:
     return sum((cell >> b & 1) << (b * len(cells) + k) for k, cell in enumerate(cells) for b in range(bits))
 
 
+def morton_bounds(low: list[float], high: list[float], bits: int) -> tuple[int, int]:
+    """Least and greatest code of a box: codes rise with each coordinate, so those of its corners bound all inside."""
+    return morton_value(low, bits), morton_value(high, bits)
+
+
 # ---- geohash
 
 #: Fixed value: the public geohash alphabet.
@@ -186,7 +199,11 @@ CELL_LEVELS = 30
 def cell_id(lat: Column, lon: Column) -> Column:
     """Leaf cell as a signed long; order holds within a face."""
     p, q = F.radians(lat), F.radians(lon)
-    x, y, z = F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)
+    return cell_of_point(F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p))
+
+
+def cell_of_point(x: Column, y: Column, z: Column) -> Column:
+    """Leaf cell of the direction (x, y, z), of any length."""
     ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
     axis = F.when((ax >= ay) & (ax >= az), 0).when(ay >= az, 1).otherwise(2)
     main = F.when(axis == 0, x).when(axis == 1, y).otherwise(z)
@@ -206,6 +223,160 @@ def cell_id(lat: Column, lon: Column) -> Column:
     return F.aggregate(levels, start, step, lambda acc: F.shiftleft(acc["id"], 1).bitwiseOR(F.lit(1)))
 
 
+def _direction(face: Column, u: Column, v: Column) -> tuple[Column, Column, Column]:
+    """Point of a cube face."""
+    one = F.lit(1.0)
+    rows = ((one, u, v), (-u, one, v), (-u, -v, one), (-one, -v, -u), (v, -one, -u), (v, u, -one))
+    pick = lambda k: reduce(lambda out, f: F.when(face == f, rows[f][k]).otherwise(out), range(4, -1, -1), rows[5][k])
+    return pick(0), pick(1), pick(2)
+
+
+def _unsquared(s: Column) -> Column:
+    """Place on a face's edge, 0 to 1 (and a little beyond), to the cube's coordinate."""
+    return F.when(s >= 0.5, (4 * s * s - 1) / 3).otherwise((1 - 4 * (1 - s) * (1 - s)) / 3)
+
+
+def cell_place(cell: Column, level: int) -> Column:
+    """Struct of face, i and j (0 to 2**level - 1) of a cell's ancestor at ``level``, or of itself."""
+    quadrant = F.array(*[F.lit(row.index(p)) for row in CELL_PLACE for p in range(4)])
+    turn = F.array(*map(F.lit, CELL_TURN))
+    face = F.shiftrightunsigned(cell, 61).cast("int")
+
+    def step(acc: Column, shift: Column) -> Column:
+        at = F.call_function("getbit", cell, shift + 1).cast("int") * 2 + F.call_function("getbit", cell, shift).cast("int")
+        q = F.get(quadrant, acc["turn"] * 4 + at)
+        return F.struct((acc["i"] * 2 + F.shiftright(q, 1)).alias("i"), (acc["j"] * 2 + q.bitwiseAND(F.lit(1))).alias("j"), acc["turn"].bitwiseXOR(F.get(turn, at)).alias("turn"))
+
+    shifts = F.array(*[F.lit(2 * (CELL_LEVELS - 1 - k) + 1) for k in range(level)]) if level else F.array().cast("array<int>")
+    start = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), face.bitwiseAND(F.lit(1)).alias("turn"))
+    return F.aggregate(shifts, start, step, lambda acc: F.struct(face.alias("face"), acc["i"].alias("i"), acc["j"].alias("j")))
+
+
+def cell_center(cell: Column, level: int = CELL_LEVELS) -> tuple[Column, Column]:
+    """Latitude and longitude of the middle of a cell of that level."""
+    at, n = cell_place(cell, level), float(1 << level)
+    x, y, z = _direction(at["face"], _unsquared((at["i"] + 0.5) / n), _unsquared((at["j"] + 0.5) / n))
+    return F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x))
+
+
+def cell_children(cell: Column) -> Column:
+    """The four cells below a cell, in the curve's order; null for a leaf."""
+    low = cell.bitwiseAND(-cell)
+    step = F.shiftright(low, 2)
+    return F.when(low > 1, F.array(*[cell - low + step * (2 * k + 1) for k in range(4)]))
+
+
+def cell_neighbors(cell: Column, level: int) -> Column:
+    """The four cells of that level that share an edge, across faces too: below, right, above, left."""
+    n, edge = float(1 << level), 1 + 1e-15
+    beyond = lambda s: F.greatest(F.lit(-edge), F.least(F.lit(edge), _unsquared(s)))
+    sides = lambda at: F.array(*[F.struct(at["face"].alias("face"), beyond((at["i"] + (0.5 + di)) / n).alias("u"), beyond((at["j"] + (0.5 + dj)) / n).alias("v")) for di, dj in ((0, -1), (1, 0), (0, 1), (-1, 0))])
+    points = lambda p: F.struct(*[c.alias(k) for k, c in zip("xyz", _direction(p["face"], p["u"], p["v"]), strict=True)])
+    # one transform after the other, so that each step is written out once
+    four = F.transform(F.flatten(F.transform(F.array(cell_place(cell, level)), sides)), points)
+    return F.transform(four, lambda q: cell_parent(cell_of_point(q["x"], q["y"], q["z"]), level))
+
+
+class _Cell(NamedTuple):
+    """A cell by face, level and place, for covers that are worked out where the query is written."""
+
+    face: int
+    level: int
+    i: int
+    j: int
+
+    def point(self, di: float, dj: float) -> tuple[float, float, float]:
+        n = 1 << self.level
+        u, v = ((4 * s * s - 1) / 3 if s >= 0.5 else (1 - 4 * (1 - s) * (1 - s)) / 3 for s in ((self.i + di) / n, (self.j + dj) / n))
+        p = ((1, u, v), (-u, 1, v), (-u, -v, 1), (-1, -v, -u), (v, -1, -u), (v, u, -1))[self.face]
+        size = math.sqrt(sum(c * c for c in p))
+        return tuple(c / size for c in p)
+
+    def cap(self) -> tuple[tuple[float, float, float], float]:
+        """Middle, and the angle to the furthest corner: a cap that holds the cell."""
+        middle = self.point(0.5, 0.5)
+        return middle, max(_angle(middle, self.point(a, b)) for a in (0, 1) for b in (0, 1)) + 1e-12
+
+    def children(self) -> list[_Cell]:
+        return [_Cell(self.face, self.level + 1, 2 * self.i + a, 2 * self.j + b) for a in (0, 1) for b in (0, 1)]
+
+    def leaves(self) -> tuple[int, int]:
+        """First and last leaf id, signed."""
+        out, turn = self.face, self.face & 1
+        for k in reversed(range(self.level)):
+            at = CELL_PLACE[turn][2 * (self.i >> k & 1) + (self.j >> k & 1)]
+            out, turn = out << 2 | at, turn ^ CELL_TURN[at]
+        shift = 2 * (CELL_LEVELS - self.level) + 1
+        low, high = (out << shift) + 1, ((out + 1) << shift) - 1
+        return tuple(x - (1 << 64) if x >> 63 else x for x in (low, high))
+
+
+def _angle(p: tuple, q: tuple) -> float:
+    return 2 * math.asin(min(1.0, math.dist(p, q) / 2))
+
+
+def _cover(meets: Callable[[_Cell], int], most: int, level: int) -> list[tuple[int, int]]:
+    """Merged leaf ranges of at most about ``most`` cells that hold a region; meets: 0 outside, 1 partly, 2 inside."""
+    open_ = [c for c in (_Cell(f, 0, 0, 0) for f in range(6)) if meets(c)]
+    done: list[_Cell] = []
+    while open_:
+        open_.sort(key=lambda c: c.level)
+        cell = open_.pop(0)
+        if meets(cell) == 2 or cell.level >= level:
+            done.append(cell)
+            continue
+        parts = [c for c in cell.children() if meets(c)]
+        if len(parts) > 1 and len(done) + len(open_) + len(parts) > most:
+            done.append(cell)
+        else:
+            open_ += parts
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(c.leaves() for c in done):
+        if out and low <= out[-1][1] + 2:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def cells_around(lat: float, lon: float, meters: float, most: int = 16, level: int = CELL_LEVELS) -> list[tuple[int, int]]:
+    """Leaf ranges that hold all points within a distance."""
+    p, q = math.radians(lat), math.radians(lon)
+    center, reach = (math.cos(p) * math.cos(q), math.cos(p) * math.sin(q), math.sin(p)), meters / EARTH_RADIUS_M * (1 + 1e-9) + 1e-12
+
+    def meets(cell: _Cell) -> int:
+        middle, size = cell.cap()
+        far = _angle(center, middle)
+        return 0 if far > reach + size else 2 if far + size <= reach else 1
+
+    return _cover(meets, most, level)
+
+
+def cells_of_box(south: float, west: float, north: float, east: float, most: int = 16, level: int = CELL_LEVELS) -> list[tuple[int, int]]:
+    """Leaf ranges that hold a box; west > east crosses the antimeridian."""
+
+    def meets(cell: _Cell) -> int:
+        (x, y, z), size = cell.cap()
+        lat, lon, size = math.degrees(math.asin(max(-1.0, min(1.0, z)))), math.degrees(math.atan2(y, x)), math.degrees(size)
+        if lat - size > north or lat + size < south:
+            return 0
+        if abs(lat) + size >= 90:
+            return 1
+        wide = math.degrees(math.asin(min(1.0, math.sin(math.radians(size)) / math.cos(math.radians(lat)))))
+        span = (east - west) % 360 if east != west + 360 else 360.0
+        off = (lon - wide - west) % 360  # where the cell begins, eastwards from the box's west side
+        if off > span and off + 2 * wide < 360:
+            return 0
+        return 2 if lat - size >= south and lat + size <= north and off + 2 * wide <= span else 1
+
+    return _cover(meets, most, level)
+
+
+def in_ranges(cell: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a stored leaf lies in one of the ranges: filters that reach the scan."""
+    return reduce(lambda out, r: out | cell.between(*r), ranges, F.lit(False))
+
+
 def _low(level: int) -> int:
     return 1 << 2 * (CELL_LEVELS - level)
 
@@ -226,6 +397,13 @@ def cell_contains(cell: Column, other: Column) -> Column:
 
 
 def geo3d_code(lat: Column, lon: Column, altitude: Column, low: float, high: float) -> Column:
-    """Altitude in the high 24 bits, the cell's top 40 bits below."""
-    height = grid(normalize(altitude, low, high), 23)
+    """Altitude in the high 24 bits, the cell's top 40 bits below; signed, so that high altitudes are negative."""
+    height = grid(normalize(altitude, low, high), 24)
     return F.shiftleft(height, 40).bitwiseOR(F.shiftrightunsigned(cell_id(lat, lon), 24))
+
+
+def geo3d_decode(code: Column, low: float, high: float) -> tuple[Column, Column, Column]:
+    """Latitude, longitude (of the cell of level 18 that the 40 bits name) and altitude (the lower bound of its step)."""
+    cell = F.shiftleft(code.bitwiseAND(F.lit((1 << 40) - 1)), 24).bitwiseOR(F.lit(1 << 23))
+    lat, lon = cell_center(cell, 18)
+    return lat, lon, denormalize(F.shiftrightunsigned(code, 40) / float(1 << 24), low, high)

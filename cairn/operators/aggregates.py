@@ -42,6 +42,19 @@ def max_(of: str) -> Aggregate:
     return Aggregate("max", of, F.max(of), f"max_{of}")
 
 
+def stddev(of: str) -> Aggregate:
+    return Aggregate("stddev", of, F.stddev_samp(of), f"stddev_{of}")
+
+
+def percentile(of: str, share: float) -> Aggregate:
+    """Exact percentile, between values by straight lines."""
+    return Aggregate("percentile", of, F.percentile(of, F.lit(share)), f"percentile_{of}")
+
+
+def distinct(of: str) -> Aggregate:
+    return Aggregate("distinct", of, F.countDistinct(of), f"distinct_{of}")
+
+
 def custom(alias: str, column: Column) -> Aggregate:
     return Aggregate("custom", None, column, alias)
 
@@ -49,17 +62,31 @@ def custom(alias: str, column: Column) -> Aggregate:
 class Grouped:
     """df.groupBy with HAVING and a result transform; partial sums run before the shuffle."""
 
-    def __init__(self, df: DataFrame, by: list[str], aggregates: list[Aggregate] | None = None, having: list[Callable[[DataFrame], Column]] | None = None):
-        self.df, self.by, self.aggregates, self.conditions = df, by, aggregates or [], having or []
+    def __init__(self, df: DataFrame, by: list[str], aggregates: list[Aggregate] | None = None, having: list[Callable[[DataFrame], Column]] | None = None, sets: list[list[str]] | None = None):
+        self.df, self.by, self.aggregates, self.conditions, self.sets = df, by, aggregates or [], having or [], sets
 
     def agg(self, *aggregates: Aggregate) -> Grouped:
-        return Grouped(self.df, self.by, [*self.aggregates, *aggregates], self.conditions)
+        return Grouped(self.df, self.by, [*self.aggregates, *aggregates], self.conditions, self.sets)
 
     def having(self, condition: Callable[[DataFrame], Column]) -> Grouped:
-        return Grouped(self.df, self.by, self.aggregates, [*self.conditions, condition])
+        return Grouped(self.df, self.by, self.aggregates, [*self.conditions, condition], self.sets)
+
+    def grouping_sets(self, *sets: list[str]) -> Grouped:
+        """Groups by each of several lists of the fields; others are null, and ``level`` tells which (a bit for each field left out, the first the highest)."""
+        return Grouped(self.df, self.by, self.aggregates, self.conditions, list(sets))
+
+    def rollup(self) -> Grouped:
+        return self.grouping_sets(*[self.by[:n] for n in range(len(self.by), -1, -1)])
+
+    def cube(self) -> Grouped:
+        return self.grouping_sets(*[[f for k, f in enumerate(self.by) if n >> k & 1] for n in range(1 << len(self.by))])
 
     def to_df(self, transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-        out = self.df.groupBy(*self.by).agg(*[a.column() for a in self.aggregates])
+        columns = [a.column() for a in self.aggregates]
+        if self.sets is None:
+            out = self.df.groupBy(*self.by).agg(*columns)
+        else:
+            out = self.df.groupingSets([[F.col(f) for f in s] for s in self.sets], *self.by).agg(*columns, F.grouping_id(*self.by).alias("level"))
         for condition in self.conditions:
             out = out.where(condition(out))
         return transform(out) if transform else out

@@ -1,4 +1,4 @@
-"""Joins beyond equality: long IN lists, intervals, nearest in time."""
+"""Joins beyond equality: IN lists, intervals, nearest in time."""
 
 from __future__ import annotations
 
@@ -8,16 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Values that stay a literal list; longer lists become a table.
-SHORT_LIST = 100
-
-
 def in_list(spark: SparkSession, df: DataFrame, name: str, values: list[Any]) -> DataFrame:
-    """Rows whose field is one of the values; a long list is joined as a table of its own."""
-    if len(values) <= SHORT_LIST:
-        return df.where(F.col(name).isin(*values)) if values else df.where(F.lit(False))
-    table = spark.createDataFrame([(v,) for v in set(values)], f"{name} {df.schema[name].dataType.simpleString()}")
-    return df.join(table, name, "left_semi")
+    """Rows whose field is one of the values, which the caller holds: a set tested in place, row by row, so that df is not shuffled."""
+    return df.where(F.col(name).isin(*values)) if values else df.where(F.lit(False))
 
 
 def interval_join(left: DataFrame, right: DataFrame, low: tuple[str, str], high: tuple[str, str], width: float, on: list[str] | None = None) -> DataFrame:

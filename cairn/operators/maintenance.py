@@ -50,10 +50,32 @@ def repaired(store: Store, index: Index, table: DataFrame) -> DataFrame:
     return kept.unionByName(missing.select(*names))
 
 
-def gaps(done: DataFrame, low: int, high: int) -> DataFrame:
-    """Ranges from low to high (excluded) that finished ranges (lower, upper) leave out."""
-    ends = done.sparkSession.createDataFrame([(low, low), (high, high)], "lower long, upper long")
-    rows = done.select(F.col("lower").cast("long").alias("lower"), F.col("upper").cast("long").alias("upper")).unionByName(ends)
-    order = Window.orderBy("lower", "upper")
-    seen = rows.withColumn("reach", F.max("upper").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    return seen.where(F.col("reach") < F.col("lower")).select(F.greatest("reach", F.lit(low)).alias("lower"), F.least("lower", F.lit(high)).alias("upper")).where("lower < upper")
+def _uncovered(rows: DataFrame, *by: str) -> DataFrame:
+    """Stretches of each group, from its least lower to its greatest upper bound, that no range covers."""
+    order = Window.partitionBy(*by).orderBy("lower", "upper").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("reach", F.max("upper").over(order)).where(F.col("reach") < F.col("lower")).select(*by, F.col("reach").alias("lower"), F.col("lower").alias("upper"))
+
+
+def gaps(done: DataFrame, low: int, high: int, parts: int = 256) -> DataFrame:
+    """Ranges from low to high (excluded) that finished ranges (lower, upper) leave out.
+
+    The stretch is cut into parts that are searched side by side; a range counts in each part it touches, and inside
+    the parts that it covers whole it is one row. Gaps that meet where parts meet, at most two for each, are joined.
+    """
+    if high <= low:
+        return done.sparkSession.createDataFrame([], "lower long, upper long")
+    width = -(-(high - low) // parts)
+    n = -(-(high - low) // width)
+    clipped = done.select(F.greatest(F.col("lower").cast("long"), F.lit(low)).alias("lower"), F.least(F.col("upper").cast("long"), F.lit(high)).alias("upper")).where("lower < upper")
+    first, last = F.expr(f"(lower - {low}) div {width}"), F.expr(f"(upper - 1 - {low}) div {width}")
+    spread = clipped.withColumn("part", F.explode(F.sequence(first, last)))
+    begin = F.col("part") * width + low
+    spread = spread.select("part", F.greatest("lower", begin).alias("lower"), F.least("upper", begin + width).alias("upper")).distinct()
+    ends = done.sparkSession.range(n).select(F.col("id").alias("part"), F.explode(F.array(F.col("id") * width + low, F.least(F.col("id") * width + (low + width), F.lit(high)))).alias("lower"))
+    pieces = _uncovered(spread.unionByName(ends.select("part", "lower", F.col("lower").alias("upper"))), "part").drop("part")
+    border = (F.expr(f"(lower - {low}) % {width}") == 0) | (F.expr(f"(upper - {low}) % {width}") == 0) | (F.col("upper") == high)
+    at = pieces.where(border)
+    fresh = F.coalesce(F.lag("upper").over(Window.orderBy("lower")) != F.col("lower"), F.lit(True))  # at most two for each part
+    at = at.withColumn("fresh", fresh).withColumn("run", F.sum(F.col("fresh").cast("int")).over(Window.orderBy("lower").rowsBetween(Window.unboundedPreceding, 0)))
+    joined = at.groupBy("run").agg(F.min("lower").alias("lower"), F.max("upper").alias("upper")).drop("run")
+    return pieces.where(~border).unionByName(joined)

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Sampled rows for each cut between buckets; ranks up to which the best rows are taken without ranking all.
+SAMPLE, SMALL_RANK = 40, 10_000
+
 
 def _sorted(columns: list[str], order: str) -> list[Column]:
     return [F.col(c).desc_nulls_last() if order == "desc" else F.col(c).asc_nulls_first() for c in columns]
@@ -24,16 +27,29 @@ class Leaderboard:
     def ranked(self, buckets: int = 256) -> DataFrame:
         """All rows with ``rank``.
 
-        Groups are ranked by a window. Without groups rows are split at score quantiles, numbered in their bucket and
-        shifted by the counts before it (at most ``buckets`` rows), so that no task holds all rows.
+        Groups are ranked by a window. Without groups rows are split at quantiles of (score, key), taken from a sample
+        of SAMPLE rows for each bucket, so that tied scores are split too; they are numbered in their bucket and shifted
+        by the counts before it (at most ``buckets`` rows). No task holds all rows, and scores of any ordered type will do.
         """
         by = _sorted([self.score, *self.key], self.order)
         if self.group:
             return self.df.withColumn("rank", F.row_number().over(Window.partitionBy(*self.group).orderBy(*by)))
-        cuts = sorted(set(self.df.approxQuantile(self.score, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
-        score = F.col(self.score).cast("double")
-        place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < score)) if cuts else F.lit(0)
-        rows = self.df.withColumn("_bucket", place)
+        names = [self.score, *self.key]
+        chosen = self.df.select(*names).orderBy(F.xxhash64(*self.key), *self.key).limit(SAMPLE * buckets)
+        cuts = [tuple(r) for r in chosen.orderBy(*names).collect()][SAMPLE - 1 :: SAMPLE]
+        kinds = [self.df.schema[n].dataType for n in names]
+        own = F.struct(*[F.col(n).alias(f"c{k}") for k, n in enumerate(names)])
+        literal = lambda row: F.struct(*[F.lit(v).cast(t).alias(f"c{k}") for k, (v, t) in enumerate(zip(row, kinds, strict=True))])
+        below = lambda rows: F.size(F.filter(F.array(*map(literal, rows)), lambda c: c < own))
+        step = 16  # first among every 16th cut, then among the next ones
+        coarse = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+        if cuts:
+            fine = F.lit(0)
+            for k, c in enumerate(coarse):
+                fine = F.when(F.col("_coarse") == k, below(c)).otherwise(fine)
+            rows = self.df.withColumn("_coarse", below([c[-1] for c in coarse])).withColumn("_bucket", F.col("_coarse") * step + fine).drop("_coarse")
+        else:
+            rows = self.df.withColumn("_bucket", F.lit(0))
         ahead = F.col("_bucket").desc() if self.order == "desc" else F.col("_bucket").asc()
         before = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
         before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(ahead).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -58,6 +74,10 @@ class Leaderboard:
         """Rows of ranks first to last, both included."""
         if first < 1 or last < first:
             raise ValueError("ranks begin at 1")
+        if not self.group and last <= SMALL_RANK:  # the best few rows alone, numbered in one task
+            by = _sorted([self.score, *self.key], self.order)
+            best = self.df.orderBy(*by).limit(last)
+            return best.withColumn("rank", F.row_number().over(Window.orderBy(*by))).where(F.col("rank") >= first)
         return self.ranked().where(F.col("rank").between(first, last))
 
     def by_score(self, low: Any, high: Any) -> DataFrame:

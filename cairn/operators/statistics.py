@@ -53,8 +53,9 @@ def range_histogram(df: DataFrame, of: str, low: float, high: float, buckets: in
     return df.where(F.col(of).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min(of).alias("low"), F.max(of).alias("high"))
 
 
-#: Shares taken for a comparison about which nothing is known.
-GUESS = {"==": 0.01, "!=": 0.99, "<": 0.33, "<=": 0.33, ">": 0.33, ">=": 0.33, "prefix": 0.1, "contains": 0.2}
+#: Shares taken where nothing is known: a bound that may lie anywhere halves the rows, as a substring may or may not be
+#: there; a first letter is one of 26; equality keeps one row in 50, as columns of some dozens of values are usual to ask for.
+GUESS = {"==": 0.02, "!=": 0.98, "<": 0.5, "<=": 0.5, ">": 0.5, ">=": 0.5, "prefix": 1 / 26, "contains": 0.5}
 
 
 def selectivity(p: Predicate, histograms: dict[str, list[tuple[float, float, int]]] | None = None, distinct: dict[str, int] | None = None) -> float:

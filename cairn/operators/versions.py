@@ -18,11 +18,16 @@ def append(history: DataFrame, changes: DataFrame, version: int, time: Any) -> D
     return history.unionByName(changes.withColumn("version", F.lit(version).cast("long")).withColumn("ts", F.lit(time).cast(history.schema["ts"].dataType)))
 
 
+def orderable(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns that have an order, which maps and variants have not."""
+    return [c for c in columns if not any(word in df.schema[c].dataType.simpleString() for word in ("map<", "variant"))]
+
+
 def current(history: DataFrame, key: list[str]) -> DataFrame:
-    """Latest version of each record: an aggregate, so that long histories are cut down before the shuffle."""
+    """Latest version of each record: an aggregate, so that long histories are cut down before the shuffle. Of rows that tie the greatest by all fields stays."""
     rest = [c for c in history.columns if c not in key]
-    order = ["version", *[c for c in rest if c != "version"]]
-    return history.groupBy(*key).agg(F.max(F.struct(*order)).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    order = F.struct("version", *orderable(history, [c for c in rest if c != "version"]))
+    return history.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def versions_of(history: DataFrame, at: dict[str, Any]) -> DataFrame:
@@ -45,6 +50,6 @@ def keep_last(history: DataFrame, key: list[str], n: int) -> DataFrame:
 
 
 def keep_since(history: DataFrame, key: list[str], cutoff: Any) -> DataFrame:
-    """Versions from the cutoff on, and always the latest one."""
-    newest = Window.partitionBy(*key).orderBy(F.col("version").desc())
-    return history.withColumn("_n", F.row_number().over(newest)).where((F.col("ts") >= F.lit(cutoff)) | (F.col("_n") == 1)).drop("_n")
+    """Versions from the cutoff on, and always the latest one: only heads older than the cutoff come from an aggregate."""
+    old = current(history, key).where((F.col("ts") < F.lit(cutoff)) | F.col("ts").isNull())
+    return history.where(F.col("ts") >= F.lit(cutoff)).unionByName(old)

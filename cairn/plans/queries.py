@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cairn.catalog import Catalog, Index, RecordType, Relationship, Store
+from cairn.catalog import Catalog, Context, Index, RecordType, Relationship, Store
 from cairn.functions import ranges, spatial, vectors
 from cairn.functions.predicates import field
 from cairn.operators import aggregates, joins, maintenance, statistics, versions
@@ -243,8 +243,29 @@ def related_records(spark, d):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def anti_related_records(spark, d):
-    orders = read(spark, d, "orders").where("o_totalprice > 250000")
-    return read(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return with_orders(spark, d).related("orders", read(spark, d, "orders").where("o_totalprice > 250000"), "left_anti").select("c_custkey")
+
+
+def with_orders(spark, d) -> Store:
+    customers = read(spark, d, "customer")
+    return Catalog([RecordType("customer", customers.schema, ("c_custkey",), (Relationship("orders", "orders", (("c_custkey", "o_custkey"),)),))]).store(customers, "customer")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) ON c_custkey = o_custkey")
+def outer_related_records(spark, d):
+    return with_orders(spark, d).related("orders", read(spark, d, "orders").where("o_totalprice > 250000"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def semi_related_records(spark, d):
+    return with_orders(spark, d).related("orders", read(spark, d, "orders").where("o_orderstatus = 'P'"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 30")
+def theta_related_records(spark, d):
+    """An inequality between the sides beside the relationship's keys."""
+    where = F.col("r.o_totalprice") > F.col("l.c_acctbal") * 30
+    return with_orders(spark, d).related("orders", read(spark, d, "orders"), where=where).select("c_custkey", "o_orderkey")
 
 
 @query("SELECT p.event_id, c.value AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY ALL) c ON p.user_id = c.user_id AND p.ts >= c.ts")
@@ -285,12 +306,15 @@ def group_transformed(spark, d):
 
 @query("SELECT count(*) AS n, sum(o_custkey) AS total, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders")
 def aggregate_ungrouped(spark, d):
-    return read(spark, d, "orders").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    orders = store(spark, d, "orders")
+    found = [orders.aggregate(a) for a in (aggregates.count(), aggregates.sum_("o_custkey"), aggregates.min_("o_orderkey"), aggregates.max_("o_orderkey"))]
+    return spark.createDataFrame([tuple(found)], "n long, total long, low long, high long")
 
 
 @query("SELECT count(*) AS n, sum(l_linenumber) AS total FROM lineitem WHERE l_returnflag = 'R'")
 def aggregate_of_one_group(spark, d):
-    return store(spark, d, "lineitem").query().where(field("l_returnflag") == "R").to_df().agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("total"))
+    found = [store(spark, d, "lineitem").aggregate(a, {"l_returnflag": "R"}) for a in (aggregates.count(), aggregates.sum_("l_linenumber"))]
+    return spark.createDataFrame([tuple(found)], "n long, total long")
 
 
 @query("SELECT o_custkey, count(*) AS n, sum(o_orderkey) AS total, count(o_orderkey) AS n_values, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders GROUP BY 1")
@@ -316,12 +340,36 @@ def aggregate_divided(spark, d):
 
 @query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
 def aggregate_distinct(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"))
+    return store(spark, d, "lineitem").group_by("l_returnflag").agg(aggregates.distinct("l_partkey").named("parts"), aggregates.distinct("l_suppkey").named("suppliers")).to_df()
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping_id(o_orderstatus, o_orderpriority) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def aggregate_cube(spark, d):
-    return read(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+    return store(spark, d, "orders").group_by("o_orderstatus", "o_orderpriority").cube().agg(aggregates.count().named("n")).to_df()
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_custkey) AS high, grouping_id(o_orderstatus, o_orderpriority) AS level FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def aggregate_rollup(spark, d):
+    return store(spark, d, "orders").group_by("o_orderstatus", "o_orderpriority").rollup().agg(aggregates.count().named("n"), aggregates.max_("o_custkey").named("high")).to_df()
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping_id(o_orderstatus, o_orderpriority) AS level FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ()) HAVING count(*) > 10")
+def aggregate_grouping_sets(spark, d):
+    grouped = store(spark, d, "orders").group_by("o_orderstatus", "o_orderpriority").grouping_sets(["o_orderstatus"], ["o_orderpriority"], [])
+    return grouped.agg(aggregates.count().named("n")).having(lambda df: df["n"] > 10).to_df()
+
+
+@query("SELECT o_orderpriority, round(stddev_samp(o_custkey), 4) AS spread, round(quantile_cont(o_custkey, 0.9), 4) AS p90 FROM orders GROUP BY 1")
+def aggregate_spread(spark, d):
+    grouped = store(spark, d, "orders").group_by("o_orderpriority").agg(aggregates.stddev("o_custkey").named("spread"), aggregates.percentile("o_custkey", 0.9).named("p90"))
+    return grouped.to_df(lambda df: df.select("o_orderpriority", F.round("spread", 4).alias("spread"), F.round("p90", 4).alias("p90")))
+
+
+@query("SELECT o_orderpriority, avg(o_custkey) AS mean FROM orders GROUP BY 1 HAVING avg(o_custkey) > 0")
+def aggregate_custom(spark, d):
+    """An aggregate that the caller makes up: a mean from two sums."""
+    mean = aggregates.custom("mean", F.sum("o_custkey") / F.count("o_custkey"))
+    return store(spark, d, "orders").group_by("o_orderpriority").agg(mean).having(lambda df: df["mean"] > 0).to_df()
 
 
 # ---- ranks
@@ -375,6 +423,18 @@ def rank_by_score(spark, d):
     return customers(spark, d).by_score(1000, 2000).select("c_custkey")
 
 
+@query(f"SELECT c_custkey, rank FROM ({_RANKED}) WHERE c_custkey IN (1, 5, 40)")
+def rank_of_rows(spark, d):
+    board, rows = customers(spark, d), read(spark, d, "customer").where("c_custkey in (1, 5, 40)").select("c_custkey", "c_acctbal").collect()
+    return spark.createDataFrame([(r.c_custkey, board.rank_of(r.c_acctbal, [r.c_custkey])) for r in rows], "c_custkey long, rank int")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_brand DESC, p_partkey DESC) AS rank FROM part")
+def rank_by_text(spark, d):
+    """Scores that are strings, with many ties."""
+    return store(spark, d, "part").rank("p_brand").ranked().select("p_partkey", "rank")
+
+
 @query("SELECT c_nationkey, count(*) AS count FROM customer GROUP BY 1")
 def rank_group_sizes(spark, d):
     return customers(spark, d, ["c_nationkey"]).count()
@@ -516,6 +576,44 @@ def sphere_cells(spark, d):
     return points(spark, d).df.select("c_custkey", cell.alias("cell")).withColumn("parent", spatial.cell_parent(F.col("cell"), 10))
 
 
+@query(f"SELECT c_custkey FROM (SELECT *, {_A} AS a FROM ({_POINTS})) WHERE {_HAVERSINE} <= 3000000")
+def points_within_cell_cover(spark, d):
+    """A radius by ranges of stored cells, then by distance."""
+    stored = points(spark, d).df.withColumn("cell", spatial.cell_id(F.col("lat"), F.col("lon")))
+    near = stored.where(spatial.in_ranges(F.col("cell"), spatial.cells_around(35.0, 139.0, 3_000_000)))
+    return near.where(spatial.within_radius(F.col("lat"), F.col("lon"), (35.0, 139.0), 3_000_000)).select("c_custkey")
+
+
+@query(f"SELECT c_custkey FROM ({_POINTS}) WHERE lat BETWEEN -20 AND 40 AND lon BETWEEN -60 AND 10")
+def points_within_box_cover(spark, d):
+    stored = points(spark, d).df.withColumn("cell", spatial.cell_id(F.col("lat"), F.col("lon")))
+    near = stored.where(spatial.in_ranges(F.col("cell"), spatial.cells_of_box(-20, -60, 40, 10)))
+    return near.where(spatial.within_box([F.col("lat"), F.col("lon")], [-20, -60], [40, 10])).select("c_custkey")
+
+
+@query(f"SELECT c_custkey FROM ({_POINTS}) WHERE lat BETWEEN 10 AND 40 AND lon BETWEEN -20 AND 10")
+def points_within_geohash_cover(spark, d):
+    cells = spatial.geohash_cover(10, -20, 40, 10, 2)
+    near = points(spark, d).df.where(spatial.geohash(F.col("lat"), F.col("lon"), 2).isin(*cells))
+    return near.where(spatial.within_box([F.col("lat"), F.col("lon")], [10, -20], [40, 10])).select("c_custkey")
+
+
+@query(f"SELECT c_custkey FROM ({_POINTS}) WHERE x BETWEEN 0.2 AND 0.6 AND y BETWEEN 0.1 AND 0.4")
+def points_within_morton_bounds(spark, d):
+    low, high = spatial.morton_bounds([0.2, 0.1], [0.6, 0.4], 16)
+    near = points(spark, d).df.where(spatial.morton([F.col("x"), F.col("y")], 16).between(low, high))
+    return near.where(spatial.within_box([F.col("x"), F.col("y")], [0.2, 0.1], [0.6, 0.4])).select("c_custkey")
+
+
+@query(f"SELECT c_custkey, CAST(round(lat) AS BIGINT) AS lat, CAST(round(lon) AS BIGINT) AS lon FROM ({_POINTS}) WHERE abs(lat - floor(lat) - 0.5) > 0.01 AND abs(lon - floor(lon) - 0.5) > 0.01 AND lon > -179")
+def cells_decoded(spark, d):
+    """Points from their cells' middles, rounded; points beside a half or at the antimeridian are left out, as a leaf's middle may lie on the other side."""
+    lat, lon = spatial.cell_center(F.col("cell"))
+    clear = lambda c: F.abs(F.col(c) - F.floor(c) - 0.5) > 0.01
+    stored = points(spark, d).df.where(clear("lat") & clear("lon") & (F.col("lon") > -179)).withColumn("cell", spatial.cell_id(F.col("lat"), F.col("lon")))
+    return stored.select("c_custkey", F.round(lat).cast("long").alias("lat"), F.round(lon).cast("long").alias("lon"))
+
+
 @query(None)
 def altitude_codes(spark, d):
     return points(spark, d).df.select("c_custkey", spatial.geo3d_code(F.col("lat"), F.col("lon"), F.col("z") * 9000, 0, 9000).alias("code"))
@@ -570,6 +668,54 @@ def upsert(spark, d):
     return Store(df, RecordType("o", df.schema, ("o_orderkey",))).upsert(changed).df
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 10 = 0")
+def unit_of_work(spark, d):
+    """Deletes and then saves that are staged and applied together."""
+    orders = store(spark, d, "orders")
+    work = Context(orders)
+    work.delete(orders.df.where("o_orderkey % 7 = 0"))
+    work.save(orders.df.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("X")))
+    return work.commit().df.select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_custkey, o_orderkey) AS place FROM orders ORDER BY place LIMIT 40")
+def permuted_order(spark, d):
+    df = read(spark, d, "orders")
+    own = Catalog([RecordType("orders", df.schema, ("o_orderkey",))], {"orders": [Index("by_priority", "permuted", ("o_orderpriority", "o_custkey"))]}).store(df, "orders")
+    return own.permuted("by_priority").limit(40).select("o_orderkey", F.row_number().over(Window.orderBy("o_orderpriority", "o_custkey", "o_orderkey")).alias("place"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def unique_violations(spark, d):
+    df = read(spark, d, "orders")
+    own = Catalog([RecordType("orders", df.schema, ("o_orderkey",))], {"orders": [Index("one_each", "value", ("o_custkey",), unique=True)]}).store(df, "orders")
+    return own.violations("one_each")
+
+
+@query("SELECT lower, upper FROM (SELECT hi AS lower, coalesce(lead(lo) OVER (ORDER BY lo), 1000000) AS upper FROM (SELECT 0 AS lo, 0 AS hi UNION ALL SELECT o_orderkey * 7, o_orderkey * 7 + CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 4 END FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey * 7 < 999990)) WHERE lower < upper")
+def build_gaps(spark, d):
+    """What a build that went through ranges of keys has left out."""
+    key = F.col("o_orderkey") * 7
+    done = read(spark, d, "orders").where("o_orderkey % 5 <> 0 and o_orderkey * 7 < 999990").select(key.alias("lower"), (key + F.when(F.col("o_orderkey") % 3 == 0, 7).otherwise(4)).alias("upper"))
+    return maintenance.gaps(done, 0, 1_000_000)
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS lo, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey + 40 END AS hi FROM orders) WHERE lo < 90 AND hi > 60")
+def optional_range_overlaps(spark, d):
+    """Ranges of which either bound may be absent; a row without a bound that is asked for doesn't match."""
+    df = read(spark, d, "orders")
+    period = F.struct(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("lower"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") + 40).alias("upper"))
+    df = df.select("o_orderkey", period.alias("period"))
+    return Store(df, RecordType("spans", df.schema, ("o_orderkey",))).query().overlaps("period", 60, 90).select("o_orderkey").to_df()
+
+
+@query("SELECT count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'P'")
+def count_and_first(spark, d):
+    q = store(spark, d, "orders").query().where(field("o_orderstatus") == "P")
+    first = q.order_by("o_orderkey").first()
+    return spark.createDataFrame([(q.count(), first.o_orderkey if first else None)], "n long, first long")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def delete_by_keys(spark, d):
     df = read(spark, d, "orders").select("o_orderkey")
