@@ -54,7 +54,7 @@ from cairn.llm.shared import Memo, cut, id_text, map_rows, small
 #: Low bytes of so many coordinates travel with a posting, as longs; so many of them agree for a pair that is looked up.
 MINI, ALIKE = 24, 9
 #: Lists up to so many classes give all pairs; classes of the rest and of all in a block of a cluster.
-SMALL, REST, BLOCK = 12, 256, 1024
+SMALL, REST, BLOCK = 12, 256, 2048
 #: Bytes of the sets of each of the two.
 REST_BYTES, BLOCK_BYTES = 16_000_000, 32_000_000
 #: Coordinates (and low bytes of MINI) in which a class agrees with its cluster's centre; classes met by chance agree in two or three.
@@ -284,6 +284,8 @@ def linked(docs: DataFrame, percent: int = 80, words: int = 2, coordinates: int
     """What near_duplicates() returns, for docs of which no doc_id stands on different texts."""
     sketches = cut(sketch(docs, words, coordinates))
     known = sketches.where("n_shingles > 0 and doc_id is not null")
+    repeated = not known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    single = (lambda df: df.dropDuplicates(["rep"])) if repeated else (lambda df: df)  # sets are shuffled only where rows repeat
     classes = cut(known.groupBy("d1", "d2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep")))
     sigs = classes.select("rep", "sig")
 
@@ -306,7 +308,7 @@ def linked(docs: DataFrame, percent: int = 80, words: int = 2, coordinates: int
 
     def sets_of(reps: DataFrame) -> DataFrame:
         found = small(reps.select(F.col("rep").alias("doc_id")).distinct())
-        return cut(map_rows(id_text(docs).join(found, "doc_id", "left_semi"), make, "rep long, set binary").dropDuplicates(["rep"]))
+        return cut(single(map_rows(id_text(docs).join(found, "doc_id", "left_semi"), make, "rep long, set binary")))
 
     short = lists.where(F.col("freq") <= SMALL)
     other = short.select("key", F.col("rep").alias("a"), *[F.col(m).alias(f"a_{m}") for m in MINIS])
