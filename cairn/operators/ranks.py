@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Sampled rows for each cut between buckets; ranks up to which the best rows are taken without ranking all.
-SAMPLE, SMALL_RANK = 40, 10_000
+from cairn.operators.parts import cuts_of, with_part
+
+#: Ranks up to which the best rows are taken without ranking all: of the whole table, and of each group (Spark's own limit for cutting groups before the shuffle).
+SMALL_RANK, GROUP_LIMIT = 10_000, 1000
 
 
 def _sorted(columns: list[str], order: str) -> list[Column]:
@@ -24,44 +26,40 @@ class Leaderboard:
             raise ValueError(order)
         self.df, self.score, self.key, self.group, self.order = df.where(F.col(score).isNotNull()), score, key, group or [], order
 
-    def ranked(self, buckets: int = 256) -> DataFrame:
+    def ranked(self, parts: int = 256) -> DataFrame:
         """All rows with ``rank``.
 
-        Groups are ranked by a window. Without groups rows are split at quantiles of (score, key), taken from a sample
-        of SAMPLE rows for each bucket, so that tied scores are split too; they are numbered in their bucket and shifted
-        by the counts before it (at most ``buckets`` rows). No task holds all rows, and scores of any ordered type will do.
+        Rows are dealt to parts along (score, key), so that tied scores are split too; they are numbered in their part
+        of their group and shifted by the counts of the parts before it, at most ``parts`` rows for a group. No task
+        holds a whole group, however hot, and scores of any ordered type will do.
         """
-        by = _sorted([self.score, *self.key], self.order)
-        if self.group:
-            return self.df.withColumn("rank", F.row_number().over(Window.partitionBy(*self.group).orderBy(*by)))
         names = [self.score, *self.key]
-        chosen = self.df.select(*names).orderBy(F.xxhash64(*self.key), *self.key).limit(SAMPLE * buckets)
-        cuts = [tuple(r) for r in chosen.orderBy(*names).collect()][SAMPLE - 1 :: SAMPLE]
-        kinds = [self.df.schema[n].dataType for n in names]
-        own = F.struct(*[F.col(n).alias(f"c{k}") for k, n in enumerate(names)])
-        literal = lambda row: F.struct(*[F.lit(v).cast(t).alias(f"c{k}") for k, (v, t) in enumerate(zip(row, kinds, strict=True))])
-        below = lambda rows: F.size(F.filter(F.array(*map(literal, rows)), lambda c: c < own))
-        step = 16  # first among every 16th cut, then among the next ones
-        coarse = [cuts[k : k + step] for k in range(0, len(cuts), step)]
-        if cuts:
-            fine = F.lit(0)
-            for k, c in enumerate(coarse):
-                fine = F.when(F.col("_coarse") == k, below(c)).otherwise(fine)
-            rows = self.df.withColumn("_coarse", below([c[-1] for c in coarse])).withColumn("_bucket", F.col("_coarse") * step + fine).drop("_coarse")
-        else:
-            rows = self.df.withColumn("_bucket", F.lit(0))
-        ahead = F.col("_bucket").desc() if self.order == "desc" else F.col("_bucket").asc()
-        before = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-        before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(ahead).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-        inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*by))
-        return rows.withColumn("_inside", inside).join(F.broadcast(before), "_bucket").withColumn("rank", F.col("_inside") + F.col("_before")).drop("_bucket", "_inside", "_before")
+        rows = with_part(self.df, names, cuts_of(self.df, names, parts), parts)
+        ahead = F.col("_part").desc() if self.order == "desc" else F.col("_part").asc()
+        earlier = Window.partitionBy(*self.group).orderBy(ahead).rowsBetween(Window.unboundedPreceding, -1)
+        before = rows.groupBy(*self.group, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        own = [F.col(c).alias(f"_own_{k}") for k, c in enumerate([*self.group, "_part"])]
+        before = before.select(*own, "_before")
+        same = F.lit(True)
+        for k, c in enumerate([*self.group, "_part"]):
+            same = same & F.col(c).eqNullSafe(F.col(f"_own_{k}"))
+        inside = F.row_number().over(Window.partitionBy(*self.group, "_part").orderBy(*_sorted(names, self.order)))
+        out = rows.withColumn("_inside", inside).join(before if self.group else F.broadcast(before), same)
+        return out.withColumn("rank", F.col("_inside") + F.col("_before")).select(*self.df.columns, "rank")
+
+    def _best(self, n: int) -> DataFrame:
+        """The best n rows of each group with their ranks; every task passes on at most n rows of a group."""
+        if n > GROUP_LIMIT:
+            return self.ranked().where(F.col("rank") <= n)
+        order = Window.partitionBy(*self.group).orderBy(*_sorted([self.score, *self.key], self.order))
+        return self.df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
     def top(self, n: int) -> DataFrame:
         """Best n rows (of each group)."""
         if n <= 0:
             raise ValueError("n must be positive")
         if self.group:
-            return self.ranked().where(F.col("rank") <= n)
+            return self._best(n)
         return self.df.orderBy(*_sorted([self.score, *self.key], self.order)).limit(n)
 
     def bottom(self, n: int) -> DataFrame:
@@ -78,7 +76,7 @@ class Leaderboard:
             by = _sorted([self.score, *self.key], self.order)
             best = self.df.orderBy(*by).limit(last)
             return best.withColumn("rank", F.row_number().over(Window.orderBy(*by))).where(F.col("rank") >= first)
-        return self.ranked().where(F.col("rank").between(first, last))
+        return (self._best(last) if self.group else self.ranked()).where(F.col("rank").between(first, last))
 
     def by_score(self, low: Any, high: Any) -> DataFrame:
         return self.df.where(F.col(self.score).between(low, high)).orderBy(*_sorted([self.score, *self.key], self.order))

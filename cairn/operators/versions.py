@@ -44,7 +44,7 @@ def check_version(history: DataFrame, at: dict[str, Any], expected: int) -> None
 
 
 def keep_last(history: DataFrame, key: list[str], n: int) -> DataFrame:
-    """The latest n versions (at least one) of each record."""
+    """The latest n versions (at least one) of each record; Spark cuts up to 1000 of them before the shuffle, so that a long history stays spread."""
     newest = Window.partitionBy(*key).orderBy(F.col("version").desc())
     return history.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= max(1, n)).drop("_n")
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from cairn.catalog import Catalog, Index, RecordType, Store
 from cairn.functions import spatial, vectors
 from cairn.functions.predicates import field
-from cairn.operators import aggregates, evolution, joins, maintenance, statistics, versions
+from cairn.operators import aggregates, evolution, joins, maintenance, parts, statistics, versions
 from cairn.operators.ranks import Leaderboard
 from cairn.sources import tables
 from cairn.streaming import views
@@ -82,7 +82,8 @@ def test_radius_and_box(spark):
         q.within_box(["lat", "lon"], [1, 1], [0, 2])
 
 
-def test_joins(spark):
+def test_joins(spark, monkeypatch):
+    monkeypatch.setattr(parts, "ROWS", 50)
     rng = random.Random(3)
     a, b = ([(i, rng.randrange(3), s := rng.randrange(100), s + 1 + rng.randrange(30)) for i in range(60)] for _ in range(2))
     one, two = spark.createDataFrame(a, "i long, k int, a0 long, a1 long"), spark.createDataFrame(b, "j long, k int, b0 long, b1 long")
@@ -94,6 +95,14 @@ def test_joins(spark):
     for i, k, t, _ in a:
         before = max((r for r in rows if r.k == k and r.t <= t), key=lambda r: r.t, default=None)
         assert got[i] == (before.v if before else None)
+    odd = spark.createDataFrame([(1, None, 5), (2, 0, None), (3, 9, 5), (4, 9, 5)], "i long, k int, a0 long")
+    facts = spark.createDataFrame([(None, 1, 1), (0, None, 2), (9, 5, 3), (9, 5, 4)], "k int, t long, v long")
+    assert sorted((r.i, r.v) for r in joins.as_of_join(odd, facts, ["k"], "a0", "t", ["v"]).collect()) == [(1, None), (2, None), (3, 4), (4, 4)]
+    hot = spark.range(3000).select(F.lit(1).alias("k"), F.col("id").alias("t"))
+    marks = hot.where("t % 700 = 0").select("k", "t", F.col("t").alias("v"))
+    assert joins.as_of_join(hot, marks, ["k"], "t", "t", ["v"]).where("v <> t - t % 700 or v is null").count() == 0
+    assert joins.as_of_join(hot, marks.limit(0), ["k"], "t", "t", ["v"]).where("v is null").count() == 3000
+    assert joins.as_of_join(hot.limit(0), marks, ["k"], "t", "t", ["v"]).count() == 0
     assert joins.in_list(spark, one, "i", list(range(0, 600, 2))).count() == 30 and joins.in_list(spark, one, "i", []).count() == 0
 
 
@@ -226,18 +235,28 @@ def test_sphere_cells_decode_children_neighbours_and_covers(spark):
     assert worst[0] < 60 and worst[1] <= 2000 / 2**24
 
 
-def test_ranks_of_tied_and_unusual_scores(spark):
+def test_ranks_of_tied_and_unusual_scores(spark, monkeypatch):
+    monkeypatch.setattr(parts, "ROWS", 50)
     from cairn.operators.ranks import Leaderboard
 
     df = spark.range(3000).select(F.col("id"), F.lit(7).alias("one"), F.concat(F.lit("s"), F.col("id") % 5).alias("word"), F.timestamp_seconds(F.col("id") % 40).alias("at"))
     for score in ("one", "word", "at"):
         for order in ("desc", "asc"):
             board = Leaderboard(df, score, ["id"], order=order)
-            got = {r.id: r["rank"] for r in board.ranked(buckets=32).collect()}
+            got = {r.id: r["rank"] for r in board.ranked(parts=32).collect()}
             want = sorted(df.select("id", score).collect(), key=lambda r: (r[1], r.id), reverse=order == "desc")
             assert got == {r.id: k + 1 for k, r in enumerate(want)}
             assert [(r.id, r["rank"]) for r in board.between(3, 6).orderBy("rank").collect()] == [(r.id, k + 3) for k, r in enumerate(want[2:6])]
-    sizes = Leaderboard(df, "one", ["id"]).ranked(buckets=32)
+    grouped = df.withColumn("g", F.when(F.col("id") % 3 == 0, F.lit("a")))
+    for order in ("asc", "desc"):
+        board = Leaderboard(grouped, "one", ["id"], ["g"], order)
+        places = [(r.g, r.id, r["rank"]) for r in board.ranked(parts=32).collect()]
+        for g in (None, "a"):
+            own = sorted(((i, n) for h, i, n in places if h == g), reverse=order == "desc")
+            assert own and [n for _, n in own] == list(range(1, len(own) + 1))
+        assert sorted(map(str, board.top(5).collect())) == sorted(map(str, board.ranked(parts=32).where("rank <= 5").collect()))
+    assert Leaderboard(grouped.limit(0), "one", ["id"], ["g"]).ranked().count() == 0
+    sizes = Leaderboard(df, "one", ["id"]).ranked(parts=32)
     assert sizes.select("rank").distinct().count() == 3000
 
 
