@@ -25,7 +25,8 @@
    square over REST and BLOCK. Members of a list outside its largest cluster are
    at last compared with those of other clusters, in the join itself: no list or
    group is capped.
-5. Components by contraction of minimal neighbours, in tables, never in the driver.
+5. Components by contraction of minimal neighbours, in tables, never in the driver;
+   the hub of a large component is no shuffle key there.
 
 match = 38 of 64 and ALIKE of 24 bytes miss a pair of similarity 0.8 with a chance
 of about 4e-5; pairs above it, and groups held together by several links, with less.
@@ -49,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.shared import Memo, cut, id_text, map_rows, small
+from cairn.llm.shared import BROADCAST_ROWS, Memo, cut, id_text, map_rows, small
 
 #: Low bytes of so many coordinates travel with a posting, as longs; so many of them agree for a pair that is looked up.
 MINI, ALIKE = 24, 9
@@ -59,6 +60,8 @@ SMALL, REST, BLOCK = 12, 256, 2048
 REST_BYTES, BLOCK_BYTES = 16_000_000, 32_000_000
 #: Coordinates (and low bytes of MINI) in which a class agrees with its cluster's centre; classes met by chance agree in two or three.
 CLUSTER, CLUSTER_ALIKE = 16, 5
+#: Parts among which the rows of a component that many links name are dealt where its table is too large to broadcast.
+SALTS = 16
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -234,19 +237,42 @@ def block_links(rows: DataFrame, match: int, percent: int) -> DataFrame:
     return rows.groupBy("center", "chunk", "block").applyInPandas(run, "a long, b long")
 
 
+def looked_up(rows: DataFrame, key: str, value: str, table: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows, in which one key may stand without bound, with the p of their key as ``value``; table: c (unique) and p.
+
+    A table of few rows is broadcast; of another one every row is copied to SALTS
+    parts, among which the rows of a key are dealt.
+    """
+    named = table.select(F.col("c").alias(key), F.col("p").alias(value))
+    if few:
+        return rows.join(F.broadcast(named), key, how)
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    copies = named.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return dealt.join(copies, [key, "__part"], how).drop("__part")
+
+
 def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (rep, comp) after joining the components that edges (a, b) between reps connect; comp is the smallest rep."""
-    of = lambda side: labels.select(F.col("rep").alias(side), F.col("comp").alias(f"c{side}"))
-    links = cut(edges.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("ca", "cb").distinct())
-    while not links.isEmpty():
+    edges = cut(edges.select("a", "b"))
+    few = 2 * edges.count() <= BROADCAST_ROWS
+    met = edges.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    own = cut(labels.join(met, "rep", "left_semi").select(F.col("rep").alias("c"), F.col("comp").alias("p")))
+    links = looked_up(looked_up(edges, "a", "ca", own, few), "b", "cb", own, few)
+    links = cut(links.where("ca <> cb").select("ca", "cb").distinct())
+    while n := links.count():
+        few = 2 * n <= BROADCAST_ROWS  # each link has two ends
         both = links.union(links.select("cb", "ca"))
-        up = both.groupBy(F.col("ca").alias("c")).agg(F.least(F.col("c"), F.min("cb")).alias("p"))
-        for _ in range(2):  # a chain shortens to a quarter
-            up = up.join(up.select(F.col("c").alias("p"), F.col("p").alias("top")), "p", "left").select("c", F.coalesce("top", "p").alias("p"))
-        up = cut(up)
-        labels = labels.join(up, labels.comp == up.c, "left").select("rep", F.coalesce("p", "comp").alias("comp"))
-        one, two = (up.select(F.col("c").alias(c), F.col("p").alias(f"p{c}")) for c in ("ca", "cb"))
-        links = cut(links.join(one, "ca").join(two, "cb").where("pca <> pcb").select(F.col("pca").alias("ca"), F.col("pcb").alias("cb")).distinct())
+        up = cut(both.groupBy(F.col("ca").alias("c")).agg(F.least(F.col("c"), F.min("cb")).alias("p")))
+        moves = True
+        while moves:  # to the least of each tree: four steps up at first, then four times as many as before
+            table = up
+            for _ in range(3):
+                table = looked_up(table.select("c", "p"), "p", "top", up, few).select("c", F.col("top").alias("p"), (F.col("top") != F.col("p")).alias("moves"))
+            up = cut(table)
+            moves = up.agg(F.max("moves")).first()[0]
+        labels = looked_up(labels, "comp", "top", up, few, "left").select("rep", F.coalesce("top", "comp").alias("comp"))
+        links = looked_up(looked_up(links, "ca", "pa", up, few), "cb", "pb", up, few)
+        links = cut(links.where("pa <> pb").select(F.col("pa").alias("ca"), F.col("pb").alias("cb")).distinct())
     return cut(labels)
 
 
