@@ -130,18 +130,3 @@ def test_many_loose_clusters_in_one_list(spark, monkeypatch):
             docs.append((len(docs), " ".join(w)))
     want = {i: c for i, (_, c) in brute(docs).items()}
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
-
-
-def test_components_of_hubs_and_chains(spark, monkeypatch):
-    """The same components whether tables are broadcast or dealt in parts."""
-    rng = random.Random(12)
-    edges = [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(0, 1), (7, 7)]
-    comp = {k: k for k in range(320)}
-    for a, b in edges:
-        low, high = sorted((comp[a], comp[b]))
-        comp = {k: low if c == high else c for k, c in comp.items()}
-    labels = spark.range(320).selectExpr("id as rep", "id as comp")
-    links = spark.createDataFrame(edges, "a long, b long")
-    for most in (neardup.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(neardup, "BROADCAST_ROWS", most)
-        assert dict(map(tuple, neardup.contracted(labels, links).collect())) == comp
