@@ -241,7 +241,7 @@ def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.union(links.select("cb", "ca"))
         up = both.groupBy(F.col("ca").alias("c")).agg(F.least(F.col("c"), F.min("cb")).alias("p"))
-        for _ in range(2):  # a chain shortens to a quarter
+        for _ in range(2):  # four steps up; a chain of rising ids moves as a whole and loses four nodes a round, others more
             up = up.join(up.select(F.col("c").alias("p"), F.col("p").alias("top")), "p", "left").select("c", F.coalesce("top", "p").alias("p"))
         up = cut(up)
         labels = labels.join(up, labels.comp == up.c, "left").select("rep", F.coalesce("p", "comp").alias("comp"))
