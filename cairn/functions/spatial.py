@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions.bindings import once
+
 EARTH_RADIUS_M = 6_371_000.0
 
 # ---- distances and boxes
@@ -202,25 +204,66 @@ def cell_id(lat: Column, lon: Column) -> Column:
     return cell_of_point(F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p))
 
 
+#: Levels of the curve that one look-up passes.
+CELL_STRIDE = 3
+
+
+def _walk(turn: int, i: int, j: int) -> tuple[int, int]:
+    """Place on the curve and the turn after CELL_STRIDE levels."""
+    place = 0
+    for k in reversed(range(CELL_STRIDE)):
+        at = CELL_PLACE[turn][2 * (i >> k & 1) + (j >> k & 1)]
+        place, turn = place << 2 | at, turn ^ CELL_TURN[at]
+    return place, turn
+
+
+def _table(values: list[int]) -> Column:
+    """An array that is folded to one constant, also inside a lambda."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _curve(start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """A long carried over the strides; step gets it and the number of levels below the stride."""
+    return F.aggregate(_table(list(reversed(range(0, CELL_LEVELS, CELL_STRIDE)))), start.cast("long"), step)
+
+
+def _bits(x: Column, n: int) -> Column:
+    return x.bitwiseAND(F.lit((1 << n) - 1))
+
+
 def cell_of_point(x: Column, y: Column, z: Column) -> Column:
     """Leaf cell of the direction (x, y, z), of any length."""
+    return once(F.struct(x.alias("x"), y.alias("y"), z.alias("z")), lambda p: once(_face(p["x"], p["y"], p["z"]), _leaf))
+
+
+def _face(x: Column, y: Column, z: Column) -> Column:
+    """Struct of cube face, u and v."""
     ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
-    axis = F.when((ax >= ay) & (ax >= az), 0).when(ay >= az, 1).otherwise(2)
-    main = F.when(axis == 0, x).when(axis == 1, y).otherwise(z)
-    face = axis + F.when(main < 0, 3).otherwise(0)
-    u = F.when(face == 0, y / x).when(face == 1, -x / y).when(face == 2, -x / z).when(face == 3, z / x).when(face == 4, z / y).otherwise(-y / z)
-    v = F.when(face == 0, z / x).when(face == 1, z / y).when(face == 2, -y / z).when(face == 3, y / x).when(face == 4, -x / y).otherwise(-x / z)
+    on = lambda face, u, v: F.struct(F.lit(face).cast("long").alias("face"), u.alias("u"), v.alias("v"))
+    first = F.when(x < 0, on(3, z / x, y / x)).otherwise(on(0, y / x, z / x))
+    second = F.when(y < 0, on(4, z / y, -x / y)).otherwise(on(1, -x / y, z / y))
+    third = F.when(z < 0, on(5, -y / z, -x / z)).otherwise(on(2, -x / z, -y / z))
+    return F.when((ax >= ay) & (ax >= az), first).when(ay >= az, second).otherwise(third)
+
+
+def _leaf(at: Column) -> Column:
+    """Leaf id of a place on a cube face."""
     square = lambda t: F.when(t >= 0, 0.5 * F.sqrt(1 + 3 * t)).otherwise(1 - 0.5 * F.sqrt(1 - 3 * t))
-    start = F.struct(face.cast("long").alias("id"), face.cast("int").bitwiseAND(F.lit(1)).alias("turn"), grid(square(u), 30).alias("i"), grid(square(v), 30).alias("j"))
-    place, turn = F.array(*[F.lit(p) for row in CELL_PLACE for p in row]), F.array(*map(F.lit, CELL_TURN))
+    spots = F.struct(grid(square(at["u"]), CELL_LEVELS).alias("i"), grid(square(at["v"]), CELL_LEVELS).alias("j"))
+    n = 1 << CELL_STRIDE
+    # carried: place on the curve, then two bits for the turn; by i, j and turn
+    table = _table([place << 2 | turn for i in range(n) for j in range(n) for t in range(4) for place, turn in [_walk(t, i, j)]])
 
-    def step(acc: Column, level: Column) -> Column:
-        quadrant = F.call_function("getbit", acc["i"], level).cast("int") * 2 + F.call_function("getbit", acc["j"], level).cast("int")
-        at = F.get(place, acc["turn"] * 4 + quadrant)
-        return F.struct((F.shiftleft(acc["id"], 2) + at).alias("id"), acc["turn"].bitwiseXOR(F.get(turn, at)).alias("turn"), acc["i"].alias("i"), acc["j"].alias("j"))
+    def walk(spot: Column) -> Column:
+        def step(acc: Column, below: Column) -> Column:
+            k = below.cast("int")
+            piece = lambda c: _bits(F.call_function("shiftright", c, k), CELL_STRIDE)
+            key = F.shiftleft(piece(spot["i"]), CELL_STRIDE + 2) + F.shiftleft(piece(spot["j"]), 2) + _bits(acc, 2)
+            return F.shiftleft(acc - _bits(acc, 2), 2 * CELL_STRIDE) + F.get(table, key.cast("int"))
 
-    levels = F.array(*[F.lit(k) for k in reversed(range(CELL_LEVELS))])
-    return F.aggregate(levels, start, step, lambda acc: F.shiftleft(acc["id"], 1).bitwiseOR(F.lit(1)))
+        return _curve(_bits(at["face"], 1), step)
+
+    return F.shiftleft(at["face"], 61).bitwiseOR(F.shiftleft(F.shiftright(once(spots, walk), 2), 1)).bitwiseOR(F.lit(1))
 
 
 def _direction(face: Column, u: Column, v: Column) -> tuple[Column, Column, Column]:
@@ -373,7 +416,10 @@ def cells_of_box(south: float, west: float, north: float, east: float, most: int
 
 
 def in_ranges(cell: Column, ranges: list[tuple[int, int]]) -> Column:
-    """Whether a stored leaf lies in one of the ranges: filters that reach the scan."""
+    """Whether a stored leaf lies in one of the ranges: filters that reach the scan.
+
+    ``cell`` is named twice for each range: one that the query works out itself belongs in ``once``.
+    """
     return reduce(lambda out, r: out | cell.between(*r), ranges, F.lit(False))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from cairn.catalog import Catalog, Context, Index, RecordType, Relationship, Store
 from cairn.functions import ranges, spatial, vectors
+from cairn.functions.bindings import once
 from cairn.functions.predicates import field
 from cairn.operators import aggregates, joins, maintenance, statistics, versions
 from cairn.operators.evolution import evolved
@@ -586,8 +587,9 @@ def points_within_cell_cover(spark, d):
 
 @query(f"SELECT c_custkey FROM ({_POINTS}) WHERE lat BETWEEN -20 AND 40 AND lon BETWEEN -60 AND 10")
 def points_within_box_cover(spark, d):
+    cover = spatial.cells_of_box(-20, -60, 40, 10)
     stored = points(spark, d).df.withColumn("cell", spatial.cell_id(F.col("lat"), F.col("lon")))
-    near = stored.where(spatial.in_ranges(F.col("cell"), spatial.cells_of_box(-20, -60, 40, 10)))
+    near = stored.where(once(F.col("cell"), lambda c: spatial.in_ranges(c, cover)))
     return near.where(spatial.within_box([F.col("lat"), F.col("lon")], [-20, -60], [40, 10])).select("c_custkey")
 
 
