@@ -580,8 +580,9 @@ def sphere_cells(spark, d):
 @query(f"SELECT c_custkey FROM (SELECT *, {_A} AS a FROM ({_POINTS})) WHERE {_HAVERSINE} <= 3000000")
 def points_within_cell_cover(spark, d):
     """A radius by ranges of stored cells, then by distance."""
+    cover = spatial.cells_around(35.0, 139.0, 3_000_000)
     stored = points(spark, d).df.withColumn("cell", spatial.cell_id(F.col("lat"), F.col("lon")))
-    near = stored.where(spatial.in_ranges(F.col("cell"), spatial.cells_around(35.0, 139.0, 3_000_000)))
+    near = stored.where(once(F.col("cell"), lambda c: spatial.in_ranges(c, cover)))
     return near.where(spatial.within_radius(F.col("lat"), F.col("lon"), (35.0, 139.0), 3_000_000)).select("c_custkey")
 
 

@@ -50,3 +50,10 @@ def test_leaf_ids_agree_with_a_walk_by_single_levels(spark):
 def parent_of(cell, level):
     low = 1 << 2 * (30 - level)
     return cell & -low | low
+
+
+def test_radius_cover_works_out_each_cell_once(spark, tmp_path):
+    df = QUERIES["points_within_cell_cover"](spark, customers(spark, tmp_path))
+    assert plan(df).count("aggregate(") == 1
+    want = QUERIES["points_within_radius"](spark, str(tmp_path))
+    assert sorted(r.c_custkey for r in df.collect()) == sorted(r.c_custkey for r in want.collect()) != []
