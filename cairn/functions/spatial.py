@@ -281,25 +281,31 @@ def _unsquared(s: Column) -> Column:
 
 def cell_place(cell: Column, level: int) -> Column:
     """Struct of face, i and j (0 to 2**level - 1) of a cell's ancestor at ``level``, or of itself."""
-    quadrant = F.array(*[F.lit(row.index(p)) for row in CELL_PLACE for p in range(4)])
-    turn = F.array(*map(F.lit, CELL_TURN))
-    face = F.shiftrightunsigned(cell, 61).cast("int")
+    n, wide = 1 << CELL_STRIDE, 2 * CELL_STRIDE
+    back = {(t, place): (i, j, turn) for i in range(n) for j in range(n) for t in range(4) for place, turn in [_walk(t, i, j)]}
+    # carried: i, then 30 bits for j and two for the turn; by place and turn
+    table = _table([i << CELL_LEVELS + 2 | j << 2 | turn for place in range(n * n) for t in range(4) for i, j, turn in [back[t, place]]])
 
-    def step(acc: Column, shift: Column) -> Column:
-        at = F.call_function("getbit", cell, shift + 1).cast("int") * 2 + F.call_function("getbit", cell, shift).cast("int")
-        q = F.get(quadrant, acc["turn"] * 4 + at)
-        return F.struct((acc["i"] * 2 + F.shiftright(q, 1)).alias("i"), (acc["j"] * 2 + q.bitwiseAND(F.lit(1))).alias("j"), acc["turn"].bitwiseXOR(F.get(turn, at)).alias("turn"))
+    def walk(c: Column) -> Column:
+        def step(acc: Column, below: Column) -> Column:
+            place = _bits(F.call_function("shiftright", c, below.cast("int") * 2 + 1), wide)
+            return F.shiftleft(acc - _bits(acc, 2), CELL_STRIDE) + F.get(table, (F.shiftleft(place, 2) + _bits(acc, 2)).cast("int"))
+
+        # bits below the ancestor's level are walked too and fall away here
+        out = lambda acc: F.struct(F.shiftrightunsigned(c, 61).cast("int").alias("face"), F.shiftright(acc, 2 * CELL_LEVELS + 2 - level).alias("i"), F.shiftright(_bits(acc, CELL_LEVELS + 2), CELL_LEVELS + 2 - level).alias("j"))
+        return once(_curve(_bits(F.shiftrightunsigned(c, 61), 1), step), out)
 
-    shifts = F.array(*[F.lit(2 * (CELL_LEVELS - 1 - k) + 1) for k in range(level)]) if level else F.array().cast("array<int>")
-    start = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), face.bitwiseAND(F.lit(1)).alias("turn"))
-    return F.aggregate(shifts, start, step, lambda acc: F.struct(face.alias("face"), acc["i"].alias("i"), acc["j"].alias("j")))
+    return once(cell, walk)
 
 
 def cell_center(cell: Column, level: int = CELL_LEVELS) -> tuple[Column, Column]:
     """Latitude and longitude of the middle of a cell of that level."""
-    at, n = cell_place(cell, level), float(1 << level)
-    x, y, z = _direction(at["face"], _unsquared((at["i"] + 0.5) / n), _unsquared((at["j"] + 0.5) / n))
-    return F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x))
+    n = float(1 << level)
+    spot = once(cell_place(cell, level), lambda at: F.struct(at["face"].alias("face"), ((at["i"] + 0.5) / n).alias("i"), ((at["j"] + 0.5) / n).alias("j")))
+    plane = once(spot, lambda s: F.struct(s["face"].alias("face"), _unsquared(s["i"]).alias("u"), _unsquared(s["j"]).alias("v")))
+    point = once(plane, lambda p: F.struct(*[c.alias(k) for k, c in zip("xyz", _direction(p["face"], p["u"], p["v"]), strict=True)]))
+    middle = once(point, lambda p: F.struct(F.degrees(F.atan2(p["z"], F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]))).alias("lat"), F.degrees(F.atan2(p["y"], p["x"])).alias("lon")))
+    return middle["lat"], middle["lon"]
 
 
 def cell_children(cell: Column) -> Column:

@@ -57,3 +57,21 @@ def test_radius_cover_works_out_each_cell_once(spark, tmp_path):
     assert plan(df).count("aggregate(") == 1
     want = QUERIES["points_within_radius"](spark, str(tmp_path))
     assert sorted(r.c_custkey for r in df.collect()) == sorted(r.c_custkey for r in want.collect()) != []
+
+
+def test_decoding_walks_a_cell_once_for_each_coordinate(spark, tmp_path):
+    df = QUERIES["cells_decoded"](spark, customers(spark, tmp_path))
+    assert plan(df).count("aggregate(") <= 3  # the cell, and its place for latitude and longitude
+    rows = df.collect()
+    assert rows and all((r.lat, r.lon) == (round((r.c_custkey * 7919 % 170000) / 1000 - 85), round((r.c_custkey * 104729 % 360000) / 1000 - 180)) for r in rows)
+
+
+def test_places_at_every_level_agree_with_the_cells_they_came_from(spark):
+    rng = random.Random(6)
+    cells = [spatial._Cell(rng.randrange(6), level, rng.randrange(1 << level), rng.randrange(1 << level)) for level in range(31) for _ in range(6)]
+    for level in range(31):
+        own = [(k, *c.leaves(), c.face, c.i, c.j) for k, c in enumerate(cells) if c.level == level]
+        df = spark.createDataFrame(own, "k long, low long, high long, face int, i long, j long")
+        # the first and the last leaf and the cell itself, which lies between them
+        for cell in (F.col("low"), F.col("high"), spatial.cell_parent(F.col("low"), level)):
+            assert all(tuple(r.at) == (r.face, r.i, r.j) for r in df.select("*", spatial.cell_place(cell, level).alias("at")).collect())
