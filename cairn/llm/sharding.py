@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.functions.bindings import once
 from cairn.llm.shared import cut, small
 
 #: Rows of a bucket in which a window numbers rows, for large inputs; at least LEAST_BUCKETS buckets.
@@ -69,13 +70,16 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     n = len(dims)
     digit, after = (F.array(*map(F.lit, x)) for x in curve_steps(n))
 
-    def step(acc: Column, i: Column) -> Column:
-        corner = sum(((F.call_function("getbit", d, i).cast("int") * (1 << k)) for k, d in enumerate(dims)), F.lit(0))
-        at = acc["state"] * (1 << n) + corner
-        return F.struct((acc["h"] * (1 << n) + F.get(digit, at)).alias("h"), F.get(after, at).alias("state"))
+    def walk(place: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            corner = sum((F.call_function("getbit", place[f"d{k}"], i).cast("int") * (1 << k) for k in range(n)), F.lit(0))
+            return once(acc["state"] * (1 << n) + corner, lambda at: F.struct((acc["h"] * (1 << n) + F.get(digit, at)).alias("h"), F.get(after, at).alias("state")))
 
-    levels = F.array(*[F.lit(i) for i in reversed(range(bits))])
-    return F.aggregate(levels, F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("state")), step, lambda acc: acc["h"])
+        levels = F.array(*[F.lit(i) for i in reversed(range(bits))])
+        return F.aggregate(levels, F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("state")), step, lambda acc: acc["h"])
+
+    # a lambda works out again what it names: dimensions are bound before the levels are walked
+    return once(F.struct(*[d.alias(f"d{k}") for k, d in enumerate(dims)]), walk)
 
 
 def head_number(value: Column, skip: int) -> Column:
@@ -99,7 +103,7 @@ def equal_depth(rows: DataFrame, names: list[str], bits: int) -> list[Column]:
 
     def level(value: Column, cuts: list | None) -> Column:
         """How many cuts lie below a value."""
-        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < value)).cast("long") if cuts else F.lit(0).cast("long")
+        return once(value, lambda v: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < v)).cast("long")) if cuts else F.lit(0).cast("long")
 
     return [level(values[n], bounds[n]) for n in names]
 

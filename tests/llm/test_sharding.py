@@ -119,3 +119,30 @@ def test_bits_are_bounded_and_long_texts_count_by_size(spark):
         sharding.shard_along_curve(rows, [F.lit(0)] * 4, 2, bits=10)
     docs = spark.createDataFrame([(1, "é" * 3_000_000, None, None, "x"), (2, "a", "en", "s", "y")], "doc_id long, text string, lang string, source string, cell string")
     assert sorted((r.doc_id, r.size, r.slot) for r in sharding.shard_documents(docs, 2).collect()) == [(1, 6_000_016, 0), (2, 17, 0)]
+
+
+def lambdas(df):
+    """Texts of all lambdas in a plan's projection."""
+    seq = df._jdf.queryExecution().optimizedPlan().expressions()
+    todo, out = [seq.apply(i) for i in range(seq.size())], []
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "LambdaFunction":
+            out.append(node.toString())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_levels_and_curve_work_a_row_out_once(spark):
+    """A lambda names bound values alone: what it names itself is worked out for each of its elements."""
+    rows = spark.range(200).select(F.concat(F.lit("a"), F.hex("id")).alias("s"), F.concat(F.lit("b"), F.hex(F.col("id") * 7)).alias("t"))
+    dims = sharding.equal_depth(rows, ["s", "t"], 3)
+    placed = rows.select(sharding.hilbert_index(dims, 3).alias("cell"))
+    text = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("conv(") == 2 and text.count(" filter(") + text.count("(filter(") == 2
+    found = lambdas(placed)
+    assert found and not any("conv(" in f for f in found)
+    want = {(r.a, r.b): r.cell for r in rows.select(dims[0].alias("a"), dims[1].alias("b")).distinct().select("a", "b", sharding.hilbert_index([F.col("a"), F.col("b")], 3).alias("cell")).collect()}
+    both = rows.select(dims[0].alias("a"), dims[1].alias("b"), sharding.hilbert_index(dims, 3).alias("cell")).collect()
+    assert len(both) == 200 and all(want[r.a, r.b] == r.cell for r in both)
